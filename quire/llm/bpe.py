@@ -14,6 +14,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -202,3 +203,25 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         return one
 
     return map_batches(docs.select("doc_id", "text"), start, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def token_rows(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, round_trip (the ids decode to the text) of every whole text."""
+    small_batches(docs.sparkSession)
+
+    def start():
+        c = codec(path)
+
+        def one(batch: pa.RecordBatch) -> dict:
+            ids, same = [], []
+            for t in texts(batch):
+                joined = c.ids_text(t)
+                ids.append(np.array(joined.split(",") if joined else [], np.int32))
+                same.append(c.decode_text(joined) == t)
+            n = np.array([len(x) for x in ids], np.int64)
+            packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "source": batch.column("source"), "n_tokens": pa.array(n), "ids": packed, "round_trip": pa.array(same, pa.bool_())}
+
+        return one
+
+    return map_batches(docs.select("doc_id", "lang", "source", "text"), start, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, source string, n_tokens bigint, ids array<int>, round_trip boolean")
