@@ -137,63 +137,89 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), start, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, ws: Workspace, name: str) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets reach the threshold."""
-    pairs = ws.stage(pairs.select("u", "v").distinct(), f"{name}-pairs")
-    ids = ws.stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-ids")
-    hashed = ids.select("doc_id", F.xxhash64("doc_id").alias("_key"))
+def full_sets(docs: DataFrame, ids: DataFrame, words: int, ws: Workspace) -> DataFrame:
+    """doc_id, grams (the full set), short (its hashes cut to 32 bits, as bytes) of the documents named in ids."""
+    hashed = ids.select(F.xxhash64("doc_id").alias("_key"))
     some = in_bitmap(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")), "_key", bitmap(hashed, "_key", ids.count())).select("doc_id", "text")
-    some = some.join(ids, "doc_id", "left_semi") if some is not None else some
 
     def start():
         def one(batch: pa.RecordBatch) -> dict:
             made = list(sets_of(batch.column("text"), words))
-            return {"doc_id": batch.column("doc_id"), "grams": pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64())), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made], pa.binary())}
+            return {
+                "doc_id": batch.column("doc_id"),
+                "grams": pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64())),
+                "short": pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in made], pa.binary()),
+                "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made], pa.binary()),
+            }
 
         return one
 
-    sets = map_batches(some, start, "doc_id bigint, grams array<bigint>, digest binary")
-    sets = sets.groupBy("doc_id").agg(F.min_by("grams", "digest").alias("grams"))
-    sets = ws.stage(sets, f"{name}-sets")
+    sets = map_batches(some.join(ids, "doc_id", "left_semi"), start, "doc_id bigint, grams array<bigint>, short binary, digest binary")
+    return ws.stage(sets.groupBy("doc_id").agg(F.min_by(F.struct("grams", "short"), "digest").alias("s")).select("doc_id", "s.*"), "sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets reach the threshold."""
+    pairs = pairs.select("u", "v").distinct()
     both = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu")), "u")
     shared = F.size(F.array_intersect("gu", "gv"))
-    good = both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
-    out = ws.stage(good, f"{name}-good")
-    ws.drop(f"{name}-sets")
-    return out
+    return ws.stage(both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v"), name)
 
 
-def cross_block(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs (u, v) of different components in one bucket whose signatures come near the threshold, block by block.
+def cross_block(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that join different components of one bucket, block by block.
 
-    members: key, rep, comp, n, signature, blocks (of its bucket).
+    members: key, band, rep, comp, n, signature, short, blocks (of its bucket).  Signatures say which pairs may
+    reach the threshold, the cut sets decide; a pair is looked at in the first band that it shares, and not
+    at all once its components are joined.
     """
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     rows = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "comp", "n", "signature")
+    rows = rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "rep", "comp", "n", "signature", "short")
     floor = int(HASHES * (percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
 
     def near(t: pa.Table) -> pa.Table:
         rep, comp, n, mine = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "mine"))
-        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        low, high, band = (t.column(c)[0].as_py() for c in ("low", "high", "band"))
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        short = [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
         u, v = [], []
         for i in left:
             j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if low == high:
                 j = j[rep[j] > rep[i]]
-            for k in range(0, len(j), 4096):
-                part = j[k : k + 4096]
-                hit = part[(sig[part] == sig[i]).sum(1) >= floor]
-                u += [int(rep[i])] * len(hit)
-                v += rep[hit].tolist()
+            same = sig[j] == sig[i]
+            score = same.sum(1)
+            first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            ok = (score >= floor) & (first == band)
+            for k in j[ok][np.argsort(-score[ok], kind="stable")]:
+                a, b = root(int(comp[i])), root(int(comp[k]))
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(short[i], short[k], True))
+                # cut hashes may be wrong by a shingle or two in large sets: what is near the bound goes on to the full sets
+                slack = 2 * (int(n[i]) * int(n[k]) > 4096)
+                bound = percent * (int(n[i]) + int(n[k])) / (100 + percent)
+                if shared >= bound - slack:
+                    u.append(int(rep[i]))
+                    v.append(int(rep[k]))
+                if shared >= bound + slack:
+                    top[a] = b
         return pa.table({"u": pa.array(np.minimum(u, v) if u else [], pa.int64()), "v": pa.array(np.maximum(u, v) if u else [], pa.int64())})
 
     return rows.groupBy("key", "low", "high").applyInArrow(near, "u bigint, v bigint").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept. doc_id is a bigint."""
     small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession)
@@ -204,22 +230,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     classes = ws.stage(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = ws.stage(filled.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "reps")
 
-    banded = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(F.xxhash64(F.substring(F.col("signature"), 1 + b * 4 * ROWS, F.lit(4 * ROWS)), b).alias("key"), (b % 4).alias("turn")))).alias("x")).select("rep", "x.*")
+    one_band = lambda b: F.struct(F.xxhash64(F.substring(F.col("signature"), 1 + b * 4 * ROWS, F.lit(4 * ROWS)), b).alias("key"), b.alias("band"))
+    banded = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), one_band)).alias("x")).select("rep", "x.*")
     # hubs: the least of the ids under one of four bijections, so that a group has several
-    turned = F.element_at(F.array(*[F.lit(m) for m in (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)]), (F.col("turn") + 1).cast("int"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(turned)).alias("hub"), F.min("turn").alias("turn")).where("size > 1")
-    members = ws.stage(banded.select("key", "rep").join(buckets.select("key", "size", F.col("hub").bitwiseXOR(turned).alias("hub")), "key"), "members")
+    turned = F.element_at(F.array(*[F.lit(m) for m in (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)]), (F.col("band") % 4 + 1).cast("int"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(turned)).alias("hub"), F.min("band").alias("band")).where("size > 1")
+    members = ws.stage(banded.select("key", "rep").join(buckets.select("key", "size", "band", F.col("hub").bitwiseXOR(turned).alias("hub")), "key"), "members")
+    sets = full_sets(docs, ws.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "ids"), words, ws)
     shared = members.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("bands"))
     best = shared.groupBy("rep").agg(F.max_by("hub", F.struct("bands", "hub")).alias("hub"))
-    edges = confirm(docs, best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")), words, percent, ws, "hubs")
+    edges = confirm(sets, best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")), percent, ws, "hubs")
     joined = components(edges, ws, "cc-hubs")
 
-    placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     placed = ws.stage(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(reps, "rep").withColumn("blocks", F.ceil(F.col("size") / 256))
-    tried = best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
-    more = confirm(docs, cross_block(rest, percent).join(tried, ["u", "v"], "left_anti"), words, percent, ws, "rest")
+    rest = placed.join(mixed, "key", "left_semi").join(reps, "rep").join(sets.select(F.col("doc_id").alias("rep"), "short"), "rep")
+    more = confirm(sets, cross_block(rest.withColumn("blocks", F.ceil(F.col("size") / block)), percent), percent, ws, "rest")
     final = components(edges.unionByName(more), ws, "cc-all")
 
     whole = prints.join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
