@@ -144,21 +144,18 @@ def rejection(c: Comparison) -> str | None:
 
 
 # Relational forms. ----------------------------------------------------------------------------------
-REPORT = "struct<messages: array<struct<ID: string, code: string, id: string, severity: string, type: string, message: string, path: string, file: string, line: bigint, `column`: bigint, additionalLocations: bigint, locations: array<struct<path: string, file: string, line: bigint, `column`: bigint>>>>>"
-
-
 def report_rows(reports: DataFrame) -> DataFrame:
-    """Findings of reports (book_id, phase, report): a row a place."""
-    parsed = reports.select("book_id", "phase", F.explode(F.from_json("report", REPORT)["messages"]).alias("m"))
-    m, empty = F.col("m"), F.lit(None).cast("array<struct<path: string, file: string, line: bigint, `column`: bigint>>")
-    own = F.array(F.struct(m["path"].alias("path"), m["file"].alias("file"), m["line"].alias("line"), m["column"].alias("column")))
-    none = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("column"))
-    more = F.array_repeat(none, F.greatest(F.coalesce(m["additionalLocations"], F.lit(0)), F.lit(0)).cast("int"))
-    place = F.explode(F.concat(F.coalesce(m["locations"], own, empty), more)).alias("p")
-    found = parsed.select("book_id", "phase", "m", place)
+    """Findings of reports (book_id, phase, report): a row a place. Keys differ in case only, so they are read one by one."""
+    messages = F.from_json("report", "struct<messages: array<string>>")["messages"]
+    parsed = reports.select("book_id", "phase", F.explode(messages).alias("m"))
+    get = lambda at, *keys: F.coalesce(*[F.get_json_object(at, f"$.{k}") for k in keys])
+    more = F.greatest(F.coalesce(get("m", "additionalLocations").cast("int"), F.lit(0)), F.lit(0))
+    places = F.coalesce(F.from_json(get("m", "locations"), "array<string>"), F.array("m"))
+    found = parsed.select("book_id", "phase", "m", F.explode(F.concat(places, F.array_repeat(F.lit("{}"), more))).alias("p"))
     return found.select(
-        "book_id", "phase", F.lower(F.coalesce("m.severity", "m.type", F.lit("error"))).alias("severity"), F.coalesce("m.ID", "m.code", "m.id", F.lit("unknown")).alias("code"),
-        F.coalesce("m.message", F.lit("")).alias("message"), F.coalesce(F.nullif("p.path", F.lit("")), "p.file").alias("path"), F.col("p.line").alias("line"), F.col("p.column").alias("column"),
+        "book_id", "phase", F.lower(F.coalesce(get("m", "severity", "type"), F.lit("error"))).alias("severity"), F.coalesce(get("m", "ID", "code", "id"), F.lit("unknown")).alias("code"),
+        F.coalesce(get("m", "message"), F.lit("")).alias("message"), F.coalesce(F.nullif(get("p", "path"), F.lit("")), get("p", "file")).alias("path"),
+        get("p", "line").cast("bigint").alias("line"), get("p", "column").cast("bigint").alias("column"),
     )
 
 
