@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import paths
@@ -21,19 +21,20 @@ def url_parts(pages: DataFrame) -> DataFrame:
     )
 
 
-def linked(pages: DataFrame, shards: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, anchors, links) of books made of pages: a book is a shard of sites.
+def linked(pages: DataFrame, per_book: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, anchors, links) of books made of runs of per_book pages.
 
-    Each page links to the page after it in its book: as it is, with its folder lost, or with its name lost,
-    by page_id modulo 3.
+    Each page links to the next one of its book: as it is, with its folder lost, or with its name lost, by
+    page_id modulo 3.
     """
-    u = url_parts(pages).withColumn("book_id", F.concat(F.lit("b"), F.pmod(F.crc32(F.col("site").cast("binary")), F.lit(shards)))).where("path <> ''")
+    u = url_parts(pages).withColumn("book_id", F.floor(F.col("page_id") / per_book)).where("path <> ''")
     files = u.select("book_id", "path").distinct()
     anchors = u.where("fragment <> ''").select("book_id", "path", F.col("fragment").alias("anchor")).distinct()
-    after = Window.partitionBy("book_id").orderBy("page_id")
-    n = u.select("book_id", "page_id", "path", F.lead("path").over(after).alias("next"), F.lead("fragment").over(after).alias("f")).where("next is not null")
+    after = u.select("book_id", (F.col("page_id") - 1).alias("page_id"), F.col("path").alias("next"), F.col("fragment").alias("f"))
+    n = u.select("book_id", "page_id", "path").join(after, ["book_id", "page_id"])
     lost = F.when(F.col("page_id") % 3 == 0, F.col("next")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("old/"), paths.basename(F.col("next")))).otherwise(F.concat(F.lit("old/x"), paths.basename(F.col("next"))))
-    href = F.concat(F.repeat(F.lit("../"), F.size(F.split(paths.dirname(F.col("path")), "/")) - F.when(paths.dirname(F.col("path")) == "", 1).otherwise(0)), lost, F.when(F.col("f") != "", F.concat(F.lit("#"), "f")).otherwise(""))
+    up = F.when(paths.dirname(F.col("path")) == "", 0).otherwise(F.size(F.split(paths.dirname(F.col("path")), "/")))
+    href = F.concat(F.repeat(F.lit("../"), up), lost, F.when(F.col("f") != "", F.concat(F.lit("#"), "f")).otherwise(""))
     return files, anchors, n.select("book_id", F.col("page_id").alias("link_id"), F.col("path").alias("source"), href.alias("href"))
 
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 DANGEROUS = ("javascript", "data", "vbscript", "file")
 
@@ -41,14 +37,10 @@ def kind(uri: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _unquote(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unquote(x, errors="replace"))
-
-
 def decode(part: Column) -> Column:
-    """Percent-decoding: malformed escapes stay, plus signs stay; only what has an escape goes to Python."""
-    return F.when(~F.contains(part, F.lit("%")), part).otherwise(_unquote(part))
+    """Percent-decoding without Python: malformed escapes stay, plus signs stay, broken UTF-8 is replaced."""
+    plus = F.replace(part, F.lit("+"), F.lit("%2B"))
+    return F.when(~F.contains(part, F.lit("%")), part).otherwise(F.url_decode(F.regexp_replace(plus, "%(?![0-9A-Fa-f]{2})", "%25")))
 
 
 def encode(path: Column) -> Column:

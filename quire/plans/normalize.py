@@ -172,8 +172,7 @@ def _each(books: DataFrame, one: Callable[[str, bytes], list[dict]], schema: str
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in types.items()], names=list(types))
 
-    # archives are large: a few to a batch
-    books.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    # spark.sql.execution.arrow.maxBytesPerBatch bounds what a batch of archives holds
     return books.select("book_id", "content").mapInArrow(run, schema)
 
 

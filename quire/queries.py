@@ -86,13 +86,13 @@ def path_join_resolve(spark, sf):
     return j.select("page_id", "pos", paths.join(F.col("path"), F.expr(STEPS)).alias("target"))
 
 
-@query(rf"""WITH {URLS}, n AS (SELECT page_id, path AS a, lead(path) OVER (PARTITION BY site ORDER BY page_id) AS b FROM urls),
-k AS (SELECT *, list_filter(string_split(CASE WHEN a LIKE '%/%' THEN regexp_replace(a, '/[^/]*$', '') ELSE '' END, '/'), lambda x: x <> '') AS h, list_filter(string_split(b, '/'), lambda x: x <> '') AS t FROM n WHERE b IS NOT NULL),
+@query(rf"""WITH {URLS}, n AS (SELECT a.page_id, a.path AS a, b.path AS b FROM urls a JOIN urls b ON b.page_id = a.page_id + 1),
+k AS (SELECT *, list_filter(string_split(CASE WHEN a LIKE '%/%' THEN regexp_replace(a, '/[^/]*$', '') ELSE '' END, '/'), lambda x: x <> '') AS h, list_filter(string_split(b, '/'), lambda x: x <> '') AS t FROM n),
 c AS (SELECT *, len(list_filter(range(1, least(len(h), len(t)) + 1), lambda i: h[:i] = t[:i])) AS c FROM k)
 SELECT page_id, CASE WHEN len(h) = c AND len(t) = c THEN '.' ELSE array_to_string(list_concat(list_transform(range(len(h) - c), lambda i: '..'), t[c + 1:]), '/') END AS way FROM c""")
 def path_relative(spark, sf):
-    w = Window.partitionBy("site").orderBy("page_id")
-    n = corpus.url_parts(table(spark, sf, "pages")).select("page_id", "path", F.lead("path").over(w).alias("next")).where("next is not null")
+    u = corpus.url_parts(table(spark, sf, "pages")).select("page_id", "path")
+    n = u.join(u.select((F.col("page_id") - 1).alias("page_id"), F.col("path").alias("next")), "page_id")
     return n.select("page_id", paths.relative(F.col("path"), F.col("next")).alias("way"))
 
 
@@ -122,44 +122,36 @@ def percent_round_trip(spark, sf):
 
 
 # The flagship: link resolution over books made of pages. --------------------------------------------
-# DuckDB has no crc32, so the book of its SQL is the whole table; the query has the same answer for one shard.
-LINKED = rf"""{URLS}, u AS (SELECT * FROM urls WHERE path <> ''), files AS (SELECT DISTINCT path FROM u), anchors AS (SELECT DISTINCT path, fragment AS anchor FROM u WHERE fragment <> ''),
-n AS (SELECT page_id AS link_id, path AS source, lead(path) OVER (ORDER BY page_id) AS nxt, lead(fragment) OVER (ORDER BY page_id) AS f FROM u),
-l AS (SELECT link_id, source, string_split(source, '/')[:-2] AS dirs, CASE link_id % 3 WHEN 0 THEN nxt WHEN 1 THEN 'old/' || regexp_extract(nxt, '([^/]*)$', 1) ELSE 'old/x' || regexp_extract(nxt, '([^/]*)$', 1) END AS target, f AS fragment FROM n WHERE nxt IS NOT NULL),
+LINKED = rf"""{URLS}, u AS (SELECT page_id // 64 AS book_id, * FROM urls WHERE path <> ''), files AS (SELECT DISTINCT book_id, path FROM u), anchors AS (SELECT DISTINCT book_id, path, fragment AS anchor FROM u WHERE fragment <> ''),
+n AS (SELECT a.book_id, a.page_id AS link_id, a.path AS source, b.path AS nxt, b.fragment AS f FROM u a JOIN u b ON b.book_id = a.book_id AND b.page_id = a.page_id + 1),
+l AS (SELECT book_id, link_id, source, string_split(source, '/')[:-2] AS dirs, CASE link_id % 3 WHEN 0 THEN nxt WHEN 1 THEN 'old/' || regexp_extract(nxt, '([^/]*)$', 1) ELSE 'old/x' || regexp_extract(nxt, '([^/]*)$', 1) END AS target, f AS fragment FROM n),
 k AS (SELECT *, repeat('../', len(dirs)) || target || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS href, regexp_extract(target, '([^/]*)$', 1) AS name,
-  target IN (SELECT path FROM files) AND (fragment = '' OR (target, fragment) IN (SELECT (path, anchor) FROM anchors)) AS ok FROM l),
-c AS (SELECT k.*, list_sort(list(DISTINCT files.path) FILTER (files.path IS NOT NULL)) AS named FROM k LEFT JOIN files ON regexp_extract(files.path, '([^/]*)$', 1) = k.name GROUP BY ALL),
-o AS (SELECT c.*, list_sort(list(DISTINCT anchors.path) FILTER (anchors.path IS NOT NULL)) AS owners FROM c LEFT JOIN anchors ON c.fragment <> '' AND anchors.anchor = c.fragment GROUP BY ALL),
-d AS (SELECT *, CASE WHEN fragment = '' THEN coalesce(named, []) WHEN len(list_intersect(coalesce(named, []), coalesce(owners, []))) > 0 THEN list_intersect(named, owners) ELSE coalesce(owners, []) END AS fit FROM o)"""
+  (book_id, target) IN (SELECT (book_id, path) FROM files) AS there, fragment = '' OR (book_id, target, fragment) IN (SELECT (book_id, path, anchor) FROM anchors) AS held FROM l),
+c AS (SELECT k.*, list_sort(list(DISTINCT files.path) FILTER (files.path IS NOT NULL)) AS named FROM k LEFT JOIN files ON files.book_id = k.book_id AND regexp_extract(files.path, '([^/]*)$', 1) = k.name GROUP BY ALL),
+o AS (SELECT c.*, list_sort(list(DISTINCT anchors.path) FILTER (anchors.path IS NOT NULL)) AS owners FROM c LEFT JOIN anchors ON c.fragment <> '' AND anchors.book_id = c.book_id AND anchors.anchor = c.fragment GROUP BY ALL),
+d AS (SELECT *, there AND held AS ok, CASE WHEN fragment = '' THEN coalesce(named, []) WHEN len(list_intersect(coalesce(named, []), coalesce(owners, []))) > 0 THEN list_intersect(named, owners) ELSE coalesce(owners, []) END AS fit FROM o)"""
 DECIDED = rf"""WITH {LINKED}, w AS (SELECT *, string_split(fit[1], '/') AS t, len(fit) AS n FROM d),
 v AS (SELECT *, len(list_filter(range(1, least(len(dirs), len(t)) + 1), lambda i: dirs[:i] = t[:i])) AS common FROM w)
-SELECT link_id, source, href, CASE WHEN ok THEN 'valid' WHEN n = 1 THEN 'repaired' WHEN n = 0 THEN 'removed: no candidate' ELSE 'removed: ambiguous' END AS decision, CASE WHEN ok THEN NULL ELSE n END AS candidates,
+SELECT book_id, link_id, source, href, CASE WHEN ok THEN 'valid' WHEN n = 1 THEN 'repaired' WHEN n = 0 THEN 'removed: no candidate' ELSE 'removed: ambiguous' END AS decision, CASE WHEN ok THEN NULL ELSE n END AS candidates,
  CASE WHEN ok THEN href WHEN n = 1 THEN array_to_string(list_concat(list_transform(range(len(dirs) - common), lambda i: '..'), t[common + 1:]), '/') || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END END AS new_href FROM v"""
 
 
 @query(DECIDED)
 def link_repair_decision(spark, sf):
-    files, anchors, links = corpus.linked(table(spark, sf, "pages"), 1)
-    return tables.link_decisions(links, files, anchors).drop("book_id")
+    files, anchors, links = corpus.linked(table(spark, sf, "pages"))
+    return tables.link_decisions(links, files, anchors)
 
 
-@query(f"WITH {LINKED}, x AS (SELECT decision, count(*) AS n FROM ({DECIDED.replace('WITH ', 'WITH ', 1)}) GROUP BY decision) SELECT * FROM x")
+@query(f"SELECT decision, count(*) AS n FROM ({DECIDED}) GROUP BY decision")
 def link_repair_summary(spark, sf):
     return link_repair_decision(spark, sf).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query()
-def link_repair_by_book(spark, sf):
-    """The same over many books, as a corpus has them."""
-    files, anchors, links = corpus.linked(table(spark, sf, "pages"))
-    return tables.link_decisions(links, files, anchors)
-
-
-@query(rf"""WITH {LINKED} SELECT link_id, 'warning' AS severity, 'missing-link-target' AS code, 'Link target is missing: ' || href AS message FROM k WHERE target NOT IN (SELECT path FROM files)
-UNION ALL SELECT link_id, 'warning', 'missing-link-anchor', 'Link anchor is missing: ' || href FROM k WHERE target IN (SELECT path FROM files) AND fragment <> '' AND lower(regexp_extract(target, '[^/]\.([^./]*)$', 1)) IN ('html', 'htm', 'xhtml') AND (target, fragment) NOT IN (SELECT (path, anchor) FROM anchors)""")
+@query(rf"""WITH {LINKED} SELECT book_id, link_id, 'warning' AS severity, 'missing-link-target' AS code, 'Link target is missing: ' || href AS message FROM k WHERE NOT there
+UNION ALL SELECT book_id, link_id, 'warning', 'missing-link-anchor', 'Link anchor is missing: ' || href FROM k WHERE there AND NOT held AND lower(regexp_extract(target, '[^/]\.([^./]*)$', 1)) IN ('html', 'htm', 'xhtml')""")
 def link_issues(spark, sf):
-    files, anchors, links = corpus.linked(table(spark, sf, "pages"), 1)
-    return tables.link_issues(links, files, anchors).drop("book_id")
+    files, anchors, links = corpus.linked(table(spark, sf, "pages"))
+    return tables.link_issues(links, files, anchors)
 
 
 # Manifest, spine, navigation. -----------------------------------------------------------------------
@@ -179,10 +171,10 @@ def label_by_first_appearance(spark, sf):
     return tables.play_order(corpus.hrefs(table(spark, sf, "pages")), ["page_id"], "href", "pos").select("page_id", "pos", "href", F.col("play_order").cast("bigint").alias("play_order"))
 
 
-@query("SELECT doc_id, md5(text) AS name, CASE WHEN k = 1 THEN md5(text) ELSE md5(text) || '-' || k END AS new_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents)")
+@query(f"WITH {HREFS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM hrefs) SELECT page_id, pos, CASE WHEN k = 1 THEN href ELSE href || '-' || k END AS new_id FROM r")
 def duplicate_id_numbering(spark, sf):
-    ids = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("name"))
-    return tables.repeated_ids(ids, ["name"], "doc_id").select("doc_id", "name", "new_id")
+    """Links of a page stand for its ids: they repeat within pages."""
+    return tables.repeated_ids(corpus.hrefs(table(spark, sf, "pages")), ["page_id", "href"], "pos").select("page_id", "pos", "new_id")
 
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(path), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
