@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire import markup
 from quire.functions import paths, uris
 from quire.operators import rewrite
+from quire.ship import ship
 
 NODES = f"doc_id bigint, {markup.NODE_FIELDS}"
 
@@ -32,6 +33,7 @@ def nodes(pages: DataFrame, id_column: str = "page_id", text_column: str = "html
                 made = [pa.array([i] * len(cols[0]), pa.int64()), *[pa.array(c, t) for c, t in zip(cols[:8], [pa.int32()] * 5 + [pa.string()] * 3)], attrs, pa.array(cols[9], pa.string())]
                 yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in NODES.replace("map<string,string>", "map").split(", ")])
 
+    ship(pages.sparkSession)
     return pages.select(F.col(id_column).cast("bigint"), text_column).mapInArrow(run, NODES)
 
 

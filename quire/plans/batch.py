@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import paths
 from quire.plans.normalize import Options, normalize, preview
+from quire.ship import ship
 from quire.sources import archives
 
 
@@ -76,7 +77,7 @@ def run(spark: SparkSession, folder: str, output: str, options: Options = Option
         return preview(books, options.preserve_publisher_css)
     done = normalize(books, options).persist()
     good = done.where("error is null").select(paths.optimized_filename(F.col("book_id")).alias("name"), F.col("output").alias("content"))
-    spark.dataSource.register(archives.FileSink)
+    ship(spark).dataSource.register(archives.FileSink)
     good.write.format("quire_files").option("force", str(force).lower()).mode("append").save(output)
     return done.drop("output")
 

@@ -20,6 +20,7 @@ from quire.operators import classify, findings, rewrite
 from quire.operators.books import Book
 from quire.operators.findings import CheckResult
 from quire.plans import stylesheet
+from quire.ship import ship
 from quire.sources import archives
 
 VERSION = "1"
@@ -172,6 +173,7 @@ def _each(books: DataFrame, one: Callable[[str, bytes], list[dict]], schema: str
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in types.items()], names=list(types))
 
+    ship(books.sparkSession)
     # spark.sql.execution.arrow.maxBytesPerBatch bounds what a batch of archives holds
     return books.select("book_id", "content").mapInArrow(run, schema)
 

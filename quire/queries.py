@@ -13,6 +13,7 @@ from quire.corpus import table
 from quire.functions import paths, shapes, uris
 from quire.operators import classify, findings, rewrite, tables
 from quire.plans import normalize as plan
+from quire.ship import ship
 from quire.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,7 +364,7 @@ def _pages_done(spark: SparkSession, sf: str, one, schema: str, types: list[pa.D
             rows = [one(i, html or "") for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return table(spark, sf, "pages").select("page_id", "html").mapInArrow(run, schema)
+    return table(ship(spark), sf, "pages").select("page_id", "html").mapInArrow(run, schema)
 
 
 @query()
@@ -404,7 +405,7 @@ def classify_blocks(spark, sf):
 
 def books(spark: SparkSession, sf: str, per_book: int = 16) -> DataFrame:
     """Archives made of pages: per_book pages each, with a sheet, a font, a spine and links between them."""
-    pages = table(spark, sf, "pages").select((F.col("page_id") / per_book).cast("bigint").alias("b"), "page_id", "html")
+    pages = table(ship(spark), sf, "pages").select((F.col("page_id") / per_book).cast("bigint").alias("b"), "page_id", "html")
 
     def build(t: pa.Table) -> pa.Table:
         b = t.column("b")[0].as_py()

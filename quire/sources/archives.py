@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from quire.ship import ship
+
 MIMETYPE = "application/epub+zip"
 ENTRIES = "book_id string, entry_ix int, raw_name string, path string, fold_key string, stored boolean, bytes binary"
 
@@ -128,6 +130,7 @@ def entries(books_: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary()))], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
+    ship(books_.sparkSession)
     return books_.select("book_id", "content").mapInArrow(explode, ENTRIES)
 
 
@@ -148,6 +151,7 @@ def packed(files_: DataFrame) -> DataFrame:
             content, error = None, str(e)
         return pa.table({"book_id": pa.array([book], pa.string()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
 
+    ship(files_.sparkSession)
     return files_.select("book_id", "path", "bytes").groupBy("book_id").applyInArrow(build, "book_id string, content binary, error string")
 
 
