@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.ship import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _spaces: list[tuple[SparkSession, str]] = []
@@ -63,7 +65,8 @@ def _sweep() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts holds, unless the session already sets it."""
+    """Bound what one Arrow batch of whole texts holds, unless the session already sets it; workers get the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))
@@ -75,7 +78,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow: ``fn()`` runs once a task and gives a function from a batch to a dict of columns."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    names = [f.name for f in ship(df.sparkSession).createDataFrame([], schema).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = fn()

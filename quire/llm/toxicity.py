@@ -93,11 +93,26 @@ class LabelModel:
     rates: np.ndarray  # class x voter
     weight: np.ndarray
     correlation: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
 
     def log_odds(self, v: np.ndarray) -> np.ndarray:
+        """A voter that says nothing abstains: only votes count."""
         r = np.log(self.rates)
-        q = np.log1p(-self.rates)
-        return np.log(self.prior / (1 - self.prior)) + (v * (r[1] - r[0]) + (1 - v) * (q[1] - q[0])) @ self.weight
+        return self.shift + self.scale * (np.log(self.prior / (1 - self.prior)) + v @ ((r[1] - r[0]) * self.weight))
+
+    def calibrate(self, patterns: np.ndarray, labelled: np.ndarray) -> None:
+        """Scale and shift of least log loss on the labelled rows, by Newton's method with a light ridge."""
+        z = self.log_odds(patterns)
+        x = np.stack([z, np.ones(len(z))], 1)
+        total, theta = labelled.sum(1), np.array([1.0, 0.0])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            slope = x.T @ (total * p - labelled[:, 1]) + (theta - [1.0, 0.0])
+            curve = (x * (total * p * (1 - p))[:, None]).T @ x + np.eye(2)
+            theta = theta - np.linalg.solve(curve, slope)
+        if theta[0] > 0 and np.isfinite(theta).all():
+            self.scale, self.shift = map(float, theta)
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, prior: float, rounds: int = 3, steps: int = 30) -> LabelModel:
@@ -120,6 +135,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarr
         model.correlation = cov / np.outer(sd, sd)
         off = np.abs(model.correlation) - np.eye(k)
         model.weight = 1 / (1 + np.where(off > 0.2, off, 0).sum(1))
+    if labelled.sum():
+        model.calibrate(patterns, labelled)
     return model
 
 
@@ -196,7 +213,7 @@ def stem_counts(words: set[bytes]) -> dict[bytes, int]:
 
 
 def mine(rows: list[tuple[set[bytes], int]], covers: int = 4, odds: float = 2.5) -> list[list[tuple[bytes, int]]]:
-    """Stems from labelled texts, dealt over MINED voters: "so many words that begin so" is far likelier in toxic texts.
+    """Stems from labelled texts, in MINED voters: "so many words that begin so" is far likelier in toxic texts.
 
     Chosen one after another by how many toxic texts they add that fewer than ``covers`` of those before cover.
     """
@@ -233,7 +250,9 @@ def mine(rows: list[tuple[set[bytes], int]], covers: int = 4, odds: float = 2.5)
         chosen.append(best)
         covered[holds[best]] += 1
         good = [k for k in good if k != best and gains[k] >= least and not (k[1] == best[1] and holds[k] == holds[best])]
-    return [chosen[i::MINED] for i in range(MINED)]
+    chosen.sort(key=lambda k: (against[k] / max(len(holds[k]), 1), k))  # a voter holds stems that are as sure as each other
+    cuts = [len(chosen) * i // MINED for i in range(MINED + 1)]
+    return [chosen[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, prior: float = 0.05) -> Scorer:
