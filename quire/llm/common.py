@@ -118,3 +118,14 @@ def in_bitmap(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFr
     at = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)), 6)
     hit = F.expr(f"(_bits & shiftleft(1L, cast({column} & 63 as int))) <> 0")
     return df.join(F.broadcast(words), at == F.col("_word")).where(hit).drop("_word", "_bits")
+
+
+def without(docs: DataFrame, gone: DataFrame, count: int) -> DataFrame:
+    """docs but for those whose doc_id is in gone (doc_id). Only rows that the bitmap can't clear are shuffled with their texts."""
+    words, bits = bitmap(gone.select(F.xxhash64("doc_id").alias("_key")), "_key", count)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id").alias("_key"))
+    at = F.shiftrightunsigned(F.col("_key").bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    hit = F.expr("coalesce((_bits & shiftleft(1L, cast(_key & 63 as int))) <> 0, false)")
+    flagged = rows.join(F.broadcast(words), at == F.col("_word"), "left").withColumn("_hit", hit)
+    left = flagged.where("_hit").select("row", F.col("row.doc_id").alias("doc_id")).join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    return flagged.where("not _hit").select("row").unionByName(left.select("row")).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, texts
+from quire.llm.common import Workspace, small_batches, texts, without
 from quire.llm.near_dedup import mix, powers
 
 Q = 12
@@ -218,5 +218,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 24, block_chars: i
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark text, in the columns they came with."""
-    gone = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Workspace(docs.sparkSession).stage(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "gone")
+    return without(docs, gone, gone.count())

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Workspace, bitmap, fold, in_bitmap
+from quire.llm.common import Workspace, bitmap, fold, in_bitmap, without
 
 HASH_BITS = 63
 
@@ -82,9 +82,10 @@ def groups(docs: DataFrame, hash_bits: int = HASH_BITS, capacity: int = 500_000)
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, in the columns they came with."""
-    stay = groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns).unionByName(nulls)
+    ws = Workspace(docs.sparkSession)
+    found = ws.stage(groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")), "kept")
+    gone = found.where("not kept").select("doc_id")
+    return without(docs, gone, gone.count())
 
 
 ORACLE = """

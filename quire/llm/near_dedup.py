@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Workspace, bitmap, in_bitmap, map_batches, small_batches
+from quire.llm.common import Workspace, bitmap, in_bitmap, map_batches, small_batches, without
 from quire.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -256,8 +256,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, in the columns they came with."""
-    gone = near_groups(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Workspace(docs.sparkSession).stage(near_groups(docs, words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return without(docs, gone, gone.count())
 
 
 ORACLE = r"""

@@ -101,6 +101,11 @@ class LabelModel:
         r = np.log(self.rates)
         return self.shift + self.scale * (np.log(self.prior / (1 - self.prior)) + v @ ((r[1] - r[0]) * self.weight))
 
+    def with_silence(self, v: np.ndarray) -> np.ndarray:
+        """The log odds if silence counts too; rates are estimated with these."""
+        silent = np.log1p(-self.rates)
+        return np.log(self.prior / (1 - self.prior)) + (v * (np.log(self.rates[1]) - np.log(self.rates[0])) + (1 - v) * (silent[1] - silent[0])) @ self.weight
+
     def calibrate(self, patterns: np.ndarray, labelled: np.ndarray) -> None:
         """Scale and shift of least log loss on the labelled rows, by Newton's method with a light ridge."""
         z = self.log_odds(patterns)
@@ -123,7 +128,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarr
     gain = max(1.0, 0.5 * counts.sum() / max(labelled.sum(), 1))
     for _ in range(rounds):
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(model.log_odds(patterns), -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(model.with_silence(patterns), -30, 30)))
             mass = np.stack([counts * (1 - p), counts * p]) + gain * labelled.T
             for c, start in ((0, 0.01), (1, 0.3)):
                 model.rates[c] = np.clip((mass[c] @ patterns + 2 * start) / (mass[c].sum() + 2), 1e-4, 0.98)
