@@ -70,3 +70,28 @@ def test_validation_and_preview_rows(spark):
     made = spark.createDataFrame([("a.epub", archives.pack(book({"a.x": '<a href="no.x">x</a>'}))), ("b.epub", b"no")], "book_id string, content binary")
     assert {(r.book_id, r.code) for r in plan.validate(made).collect()} == {("a.epub", "missing-link-target"), ("b.epub", "unreadable")}
     assert [r.package_path for r in plan.preview(made).orderBy("book_id").collect()] == ["O/b.opf", None]
+
+
+def program(tmp_path, body):
+    p = tmp_path / "check.sh"
+    p.write_text(f"#!/bin/sh\n{body}\n")
+    p.chmod(0o755)
+    return str(p)
+
+
+def test_external_checker(tmp_path):
+    from quire.plans.checker import ProgramChecker, timeout_of
+
+    report = '{"messages": [{"ID": "E", "severity": "ERROR", "message": "m", "locations": [{"path": "a"}], "additionalLocations": 1}]}'
+    found = ProgramChecker(program(tmp_path, f"echo '{report}' >&2; exit 1"))(b"x")
+    assert found.available and [f.path for f in found.errors] == ["a", None]
+    assert ProgramChecker(program(tmp_path, "sleep 5"), 0.2)(b"x").status == "timeout"
+    assert not ProgramChecker(program(tmp_path, "exit 3"))(b"x").available and not ProgramChecker("/no/such")(b"x").available
+    assert [timeout_of(x) for x in (None, "7", "-1", "inf", "x")] == [120, 7, 120, 120, 120]
+
+
+def test_arrivals_by_window(spark, tmp_path):
+    d = folder(tmp_path)
+    q = intake.arrivals(intake.books(spark, str(d))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(r.books for r in spark.table("arrivals").collect()) == 2
