@@ -1,9 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark texts are cut into overlapping segments of at most SEGMENT characters.  If a document holds a
-segment with at most k edits, the two share at least m - q + 1 - k q of the segment's q-grams within k + 1
-neighbouring diagonals.  Shared q-grams are counted in overlapping diagonal bands of every whole text; the
-bands that reach that bound are verified by banded alignment.  Letters are compared in lower case and each
+Searched for is each stretch of SEGMENT characters of a benchmark text, from every position, and the whole of
+a shorter one.  If a document holds a stretch of m characters with at most k edits, the two share at least
+m - q + 1 - k q of the stretch's q-grams within k + 1 neighbouring diagonals.  The q-grams of whole items are
+indexed; those shared are placed in overlapping diagonal bands of every whole text, and each stretch that
+reaches the bound within a band is verified by banded alignment.  Letters are compared in lower case and each
 run of white space as one blank.
 
 The benchmark is indexed in blocks of at most ``block_chars`` characters: one block is broadcast at a time.
@@ -31,6 +32,8 @@ SEGMENT = 100
 PERCENT = 6
 BAND = 16
 SLOTS = 20
+#: Stretches aligned at once.
+ALIGNED = 2048
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -67,34 +70,35 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Segment:
+class Item:
+    """A benchmark text: each stretch of ``size`` characters (SEGMENT, or all of a shorter text) is searched for."""
+
     item: int | None
     code: np.ndarray
+    size: int
     budget: int
     bound: int
 
 
 class Index:
-    """q-grams of the segments of one block of benchmark texts."""
+    """q-grams of one block of benchmark texts."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: int):
-        self.segments: list[Segment] = []
+        self.items: list[Item] = []
         hashes, owners, offsets = [], [], []
         for item, text in items:
             code = plain((text or "").strip())[0]
             if len(code) < max(least, Q):
                 continue
-            last = max(len(code) - SEGMENT, 0)
-            for start in sorted({*range(0, last, SEGMENT // 2), last}):
-                part = code[start : start + SEGMENT]
-                budget = len(part) * PERCENT // 100
-                while budget and len(part) - Q + 1 - budget * Q < 1:
-                    budget -= 1
-                h = gram_hashes(part)
-                hashes.append(h)
-                owners.append(np.full(len(h), len(self.segments)))
-                offsets.append(np.arange(len(h)))
-                self.segments.append(Segment(item, part, budget, len(part) - Q + 1 - budget * Q))
+            size = min(len(code), SEGMENT)
+            budget = size * PERCENT // 100
+            while budget and size - Q + 1 - budget * Q < 1:
+                budget -= 1
+            h = gram_hashes(code)
+            hashes.append(h)
+            owners.append(np.full(len(h), len(self.items)))
+            offsets.append(np.arange(len(h)))
+            self.items.append(Item(item, code, size, budget, size - Q + 1 - budget * Q))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
@@ -102,43 +106,76 @@ class Index:
         self.offsets = np.concatenate(offsets)[order] if offsets else np.zeros(0, np.int64)
         self.slots = np.zeros(1 << SLOTS, bool)
         self.slots[self.hashes >> np.uint64(64 - SLOTS)] = True
-        self.bounds = np.array([s.bound for s in self.segments], np.int64)
-        self.most = max([s.budget for s in self.segments], default=0)
+        self.bounds = np.array([x.bound for x in self.items], np.int64)
+        self.sizes = np.array([x.size for x in self.items], np.int64)
+        self.lengths = np.array([len(x.code) for x in self.items], np.int64)
+        self.most = max([x.budget for x in self.items], default=0)
+        self.longest = -(-max([len(x.code) for x in self.items], default=0) // BAND) * BAND
 
-    def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, first diagonal) of the bands that reach their bound."""
+    def bands(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first diagonal, start in the item) of the stretches that reach their bound in a band."""
+        none = np.zeros(0, np.int64)
         h = gram_hashes(c)
         at = np.flatnonzero(self.slots[h >> np.uint64(64 - SLOTS)])
         if not len(at):
-            return []
+            return none, none, none
         lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
         n = hi - lo
         if not n.any():
-            return []
+            return none, none, none
         first = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        diagonal = np.repeat(at, n) - self.offsets[first] + SEGMENT
-        width = len(c) // BAND + SEGMENT // BAND + 3
+        offset = self.offsets[first]
+        diagonal = np.repeat(at, n) - offset + self.longest
+        width = len(c) // BAND + self.longest // BAND + 3
         key = self.owners[first] * width + diagonal // BAND + 1
-        key = np.concatenate([key, key[diagonal % BAND < self.most] - 1])
-        keys, counts = np.unique(key, return_counts=True)
-        good = keys[counts >= self.bounds[keys // width]]
-        return [(int(k // width), int(k % width - 1) * BAND - SEGMENT) for k in good]
+        again = diagonal % BAND < self.most
+        key, offset = np.concatenate([key, key[again] - 1]), np.concatenate([offset, offset[again]])
+        order = np.lexsort((offset, key))
+        key, offset = key[order], offset[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])
+        key, offset = key[fresh], offset[fresh]
+        # a stretch from s has its bound if that many offsets of its band lie in s .. s + size - Q
+        owner = key // width
+        last = np.arange(len(key)) + self.bounds[owner] - 1
+        end = np.minimum(last, len(key) - 1)
+        good = np.flatnonzero((last < len(key)) & (key[end] == key) & (offset[end] - offset <= self.sizes[owner] - Q))
+        if not len(good):
+            return none, none, none
+        key, owner = key[good], owner[good]
+        low = np.maximum(offset[end[good]] - self.sizes[owner] + Q, 0)
+        high = np.minimum(offset[good], self.lengths[owner] - self.sizes[owner])
+        low[1:] = np.where(key[1:] == key[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        n = np.maximum(high - low + 1, 0)
+        start = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(owner, n), np.repeat((key % width - 1) * BAND - self.longest, n), start
 
     def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item, start, end, edits) of each region of the text: code points, regions of one item merged."""
-        if len(text) < Q or not self.segments:
+        if len(text) < Q or not self.items:
             return []
         with np.errstate(over="ignore"):
             c, at = plain(text)
-            bands = self.bands(c)
+            owners, diagonals, starts = self.bands(c)
         regions: dict[int | None, list[tuple[int, int, int]]] = {}
-        for k, diagonal in bands:
-            s = self.segments[k]
-            low = max(diagonal - s.budget, 0)
-            high = min(diagonal + BAND + self.most + s.budget + len(s.code), len(c))
-            if found := align(s.code, c[low:high], s.budget, diagonal - low, BAND + self.most):
-                start, end, edits = found
-                regions.setdefault(s.item, []).append((int(at[low + start]), int(at[low + end - 1]) + 1, edits))
+        left: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        whole, codes = c.tobytes(), {int(k): self.items[k].code.tobytes() for k in np.unique(owners)}
+        for k, diagonal, s in zip(owners.tolist(), diagonals.tolist(), starts.tolist()):
+            x = self.items[k]
+            first = s + diagonal - x.budget
+            exact = whole.find(codes[k][4 * s : 4 * (s + x.size)], 4 * max(first, 0), 4 * max(first + BAND + self.most + 2 * x.budget + x.size, 0))
+            if exact >= 0 and exact % 4 == 0:
+                regions.setdefault(x.item, []).append((int(at[exact // 4]), int(at[exact // 4 + x.size - 1]) + 1, 0))
+            else:
+                left.setdefault((x.size, x.budget), []).append((k, s, s + diagonal))
+        for (size, budget), places in left.items():
+            for b in range(0, len(places), ALIGNED):
+                part = places[b : b + ALIGNED]
+                patterns = np.stack([self.items[k].code[s : s + size] for k, s, _ in part])
+                for (k, _, _), found in zip(part, align_all(patterns, c, budget, np.array([d for *_, d in part]), BAND + self.most)):
+                    if found:
+                        start, end, edits = found
+                        regions.setdefault(self.items[k].item, []).append((int(at[start]), int(at[end - 1]) + 1, edits))
         out = []
         for item, parts in regions.items():
             parts.sort()
@@ -157,37 +194,49 @@ def align(pattern: np.ndarray, region: np.ndarray, budget: int, first: int, wide
     exact = region.tobytes().find(pattern.tobytes())
     if exact >= 0 and exact % 4 == 0:
         return exact // 4, exact // 4 + len(pattern), 0
-    found = _ends(pattern, region, budget, first, wide)
-    if found is None:
-        return None
-    end, edits = found
-    back = _ends(pattern[::-1], region[:end][::-1], edits, 0, edits + 1, True)
-    return (end - back[0] if back else max(end - len(pattern), 0)), end, edits
+    return align_all(pattern[None], region, budget, np.array([first]), wide)[0]
+
+
+def align_all(patterns: np.ndarray, text: np.ndarray, budget: int, first: np.ndarray, wide: int) -> list[tuple[int, int, int] | None]:
+    """What ``align`` finds of each row of the patterns, in the band of its own first diagonal of the text."""
+    out: list[tuple[int, int, int] | None] = [None] * len(patterns)
+    end, edits = _ends(patterns, text, budget, first, wide)
+    good = np.flatnonzero(edits <= budget)
+    if len(good):
+        back, _ = _ends(patterns[good, ::-1], text, budget, np.zeros(len(good), np.int64), 1, end[good])
+        for i, n in zip(good, back):
+            out[i] = (int(end[i] - n), int(end[i]), int(edits[i]))
+    return out
 
 
-def _ends(pattern: np.ndarray, region: np.ndarray, budget: int, first: int, wide: int, anchored: bool = False) -> tuple[int, int] | None:
-    """(end, edits): least edits of the pattern ending in the region, over diagonals first - budget to first + wide + budget."""
-    m, lo = len(pattern), first - budget
+def _ends(patterns: np.ndarray, text: np.ndarray, budget: int, first: np.ndarray, wide: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(end, edits) of each row: least edits over diagonals first - budget to first + wide + budget; with ``before``, anchored there and read backwards."""
+    m, patterns = patterns.shape[1], patterns.astype(np.int32)
     width = wide + 2 * budget + 1
-    j = np.arange(width) + lo  # columns of row 0
-    step = np.arange(width)
-    big = m + len(region) + 1
-    inside = (j >= 0) & (j <= len(region))
-    row = np.where(inside, np.abs(j) if anchored else 0, big)
-    padded = np.concatenate([region.astype(np.int64), [-1]])
+    step = np.arange(width, dtype=np.int32)
+    lo = first - budget
+    limit = np.full(len(patterns), len(text)) if before is None else before
+    big = np.int32(m + width)
+    # characters of the band: row i of the alignment compares column j with at[:, i - 1 + step]
+    j = lo[:, None] + np.arange(m + width)
+    inside = (j >= 0) & (j < limit[:, None])
+    at = j if before is None else limit[:, None] - 1 - j
+    chars = np.where(inside, text[np.where(inside, at, 0)].astype(np.int32), np.int32(-1))
+    j = lo[:, None] + step
+    row = np.where((j >= 0) & (j <= limit[:, None]), 0 if before is None else np.abs(j), big).astype(np.int32)
     for i in range(1, m + 1):
-        j = j + 1
-        inside = (j >= 1) & (j <= len(region))
-        same = padded[np.where(inside, j - 1, -1)] == pattern[i - 1]
-        row_next = row + ~same
-        row_next[~inside] = big
-        np.minimum(row_next[:-1], row[1:] + 1, out=row_next[:-1])
-        if lo + i <= 0 < lo + i + width:
-            row_next[-lo - i] = i
-        row = np.minimum.accumulate(row_next - step) + step
-        row[j > len(region)] = big
-    k = int(row.argmin())
-    return (int(j[k]), int(row[k])) if row[k] <= budget else None
+        c = chars[:, i - 1 : i - 1 + width]
+        new = np.where(c < 0, big, row + (c != patterns[:, i - 1 : i]))
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        edge = -lo - i
+        at_edge = np.flatnonzero((edge >= 0) & (edge < width))
+        new[at_edge, edge[at_edge]] = i
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        over = limit - lo - i + 1  # the first column beyond the text
+        if over.min() < width:
+            row[step >= over[:, None]] = big
+    k = row.argmin(1)
+    return lo + m + k, row[np.arange(len(row)), k]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 24, block_chars: int = 2_000_000) -> DataFrame:

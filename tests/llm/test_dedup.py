@@ -220,6 +220,38 @@ def test_spans_point_into_the_text(docs, spark):
     assert [(x.doc_id, x.item_id, x.edits) for x in r] == [(1, 3, 0)] and text[r[0].start_char : r[0].end_char] == item.replace(" ", "  ")
 
 
+def test_unaligned_excerpts_of_an_item_are_found():
+    rnd = random.Random(14)
+    item = " ".join(rnd.choice(WORDS) + rnd.choice("abcdefgh") + rnd.choice("klmnop") for _ in range(90))[:394].strip()
+    index = decontaminate.Index([(7, item)], 24)
+    fence = "0123456789" * 20
+    for n in (100, 101, 110, 123, 140):
+        for start in range(1, len(item) - n, 13):
+            part = item[start : start + n].strip()
+            if len(part) < 100:
+                continue
+            for k in (0, 3, 6):
+                text = fence + edits(rnd, part, k) + fence
+                found = index.search(text)
+                assert found and {f[0] for f in found} == {7}, (n, start, k)
+                assert k or found[0][1:] == (len(fence), len(fence) + len(part), 0)
+    assert not any(index.search(fence + item[s : s + 90].strip() + fence) for s in range(1, 300, 17))
+
+
+def test_aligned_together_equals_the_full_table():
+    rnd = random.Random(15)
+    code = lambda s: np.array([ord(c) for c in s], np.uint32)
+    for _ in range(30):
+        text = "".join(rnd.choice("abcd") for _ in range(60))
+        firsts = [rnd.randrange(-5, 30) for _ in range(8)]
+        patterns = ["".join(edits(rnd, text[max(f, 0) :] + "abcd" * 20, rnd.randrange(9))[:40]) for f in firsts]
+        got = decontaminate.align_all(np.stack([code(p) for p in patterns]), code(text), 6, np.array(firsts), 30)
+        for p, r in zip(patterns, got):
+            full = plain_edits(p, text)
+            assert r is None or (full <= r[2] == plain_edits(p, text[r[0] : r[1]]))
+            assert r is not None or full > 6
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "something that is in no text at all, whatever one reads")], "item_id bigint, text string")
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
