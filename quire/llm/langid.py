@@ -183,14 +183,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None) -> DataFrame:
-    """The documents whose language is known (and among those accepted), in the columns they came with."""
+    """The documents with a letter, in the columns they came with; with a list of accepted languages, those predicted to be in one of them.
+
+    Where nothing could be learned, no language is told of any text: all with a letter stay, unless languages are asked for.
+    """
     small_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast((model, accepted))
 
     def run(batches):
         m, only = packed.value
         for batch in batches:
-            at = [i for i, t in enumerate(texts(batch)) if (lang := m.predict(t)[0]) != UNKNOWN and (only is None or lang in only)]
+            at = []
+            for i, t in enumerate(texts(batch)):
+                lang, score = m.predict(t)
+                # only a text without a letter has score 0, but where nothing was learned all have
+                known = score > 0 or not m.langs and grams(t) is not None
+                if known and (only is None or score > 0 and lang in only):
+                    at.append(i)
             yield batch.take(pa.array(at, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,3 +40,21 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, odd, monkeypatch):
             assert name == "bpe_tokens" or out.columns == corpus_pipeline.COLUMNS
             assert (out.count() > 0) == (table is docs)
     assert decontaminate.PERCENT == 6
+
+
+def test_stages_keep_texts_with_letters_when_no_language_could_be_learned(spark, odd):
+    docs = odd.select(corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "5", "6", "7", "None"]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() > 0, name
+
+
+def test_a_language_named_und_is_a_language(spark, docs):
+    rows = docs([(1, "some words"), (2, "123"), (3, None)])
+    model = langid.Model(["und"], langid.np.ones(langid.SIZE), langid.np.zeros((langid.SIZE, 1)), 1.0)
+    assert [r.doc_id for r in langid.keep_known(rows, model).collect()] == [1]
+    assert langid.keep_known(rows, model, ["en"]).count() == 0
+    assert langid.keep_known(rows, langid.Model([], langid.np.ones(langid.SIZE), langid.np.zeros((langid.SIZE, 0)), 1.0), ["en"]).count() == 0
