@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
-#: What a candidate looks like - a long run with a digit, a value behind a cue, a key block's head.
+CUES = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
+#: What a candidate looks like, at any length - a long run with a digit, a value behind a cue, a key block's head.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{16,4096}(?![A-Za-z0-9_+/=-])"
-    r"|(?<=(?:password|passwd|secret|token|api_key|apikey)[\"' ]{0,2}[=:][\"' ]{0,2})[^\s\"'" + MARK + r"]{6,200}"
+    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+    rf"|(?<=[=:][\"' ]{{0,2}})(?<=(?i:{CUES})(?:[_-](?i:key))?[\"' ]{{0,2}}[=:][\"' ]{{0,2}})[^\s\"'{MARK}]{{6,}}+"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 )
-CUES = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
 CALM = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|etag|revision|build|version|id|order|card|phone|tel|isbn"
 FAKE = "example|sample|dummy|changeme|placeholder|your|test|xxxx|0000000|1234567|abcdef"
 WORDS = "the|and|tion|ing|ent|with|that|this|from|for|file|path|user|name|data|page|image|index|main|config|value|error|line|test|home|src|lib|public|static"

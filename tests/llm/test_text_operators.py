@@ -157,6 +157,25 @@ def test_secrets_are_found_where_they_are(spark, docs):
     assert rows == {(1, 1): True, (1, 2): False}
 
 
+def test_candidates_of_any_length_case_and_cue_come_whole(docs):
+    rnd = random.Random(16)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    letters, symbols = "abcdefghijklmnopqrstuvwxyz", "!$%&*.;?"
+    values = [(f"see {v} here", v) for v in (pick(letters, n) + "7" + pick(letters, 9) for n in (150, 201, 300, 5000))]
+    for n in (20, 201, 5000):
+        for left in ('password = "', "PASSWORD='", "Secret: ", 'bearer: "', "CREDENTIAL=", "auth='", "passwd=", 'private_key: "', 'API-KEY="', "SECRET_KEY='"):
+            v = pick(letters, n) if n == 20 else "!" + pick(letters + symbols, n - 1)
+            values.append((f"see {left}{v}\" or ' end", v))
+    values.append(('PASSWORD="p@ss!word9"', "p@ss!word9"))
+    found = {}
+    for r in secrets.candidates(docs([(i, t) for i, (t, _) in enumerate(values)])).collect():
+        found.setdefault(r.doc_id, []).append((r.start_char, r.end_char, r.candidate))
+    for i, (t, v) in enumerate(values):
+        assert found.get(i) == [(t.index(v), t.index(v) + len(v), v)], (t[:40], len(v))
+    plain = [(1, "the secret of a token, " + pick(letters, 5000) + " and internationalization"), (2, "=" * 40_000 + " a: b"), (3, "a" * 200_000)]
+    assert secrets.candidates(docs(plain)).count() == 0
+
+
 def test_secret_plan_is_native(spark, odd):
     plan = secrets.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
