@@ -166,6 +166,12 @@ def confirm(sets: DataFrame, pairs: DataFrame, percent: int, ws: Workspace, name
     return ws.stage(both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v"), name)
 
 
+def doubt(n: int, m: int) -> float:
+    """By how many shingles the cut sets of two texts may be wrong: n m / 2^32 at most are expected, with eight deviations and two more."""
+    expected = n * m / 2**32
+    return 2 + expected + 8 * expected**0.5 if n * m > 4096 else 0
+
+
 def cross_block(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that join different components of one bucket, block by block.
 
@@ -206,8 +212,8 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
                 if a == b:
                     continue
                 shared = len(np.intersect1d(short[i], short[k], True))
-                # cut hashes may be wrong by a shingle or two in large sets: what is near the bound goes on to the full sets
-                slack = 2 * (int(n[i]) * int(n[k]) > 4096)
+                # cut hashes may be wrong by some shingles in large sets: what is near the bound goes on to the full sets
+                slack = doubt(int(n[i]), int(n[k]))
                 bound = percent * (int(n[i]) + int(n[k])) / (100 + percent)
                 if shared >= bound - slack:
                     u.append(int(rep[i]))

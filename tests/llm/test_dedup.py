@@ -169,6 +169,23 @@ def edits(rnd, text, k):
     return "".join(out)
 
 
+def test_blocks_pass_on_very_long_pairs_at_the_threshold(spark):
+    rnd, n = np.random.default_rng(17), 450_000
+    sig = bytes(4 * near_dedup.HASHES)
+
+    def pairs(share):
+        both = rnd.integers(0, 2**64, share, np.uint64)
+        rows = []
+        for rep in (1, 2):
+            full = np.concatenate([both, rnd.integers(0, 2**64, n - share, np.uint64)])
+            rows.append((9, 0, rep, rep, n, sig, np.unique((full >> np.uint64(32)).astype(np.uint32)).tobytes(), 1))
+        members = spark.createDataFrame(rows, "key bigint, band int, rep bigint, comp bigint, n bigint, signature binary, short binary, blocks bigint")
+        return [tuple(r) for r in near_dedup.cross_block(members, 80).collect()]
+
+    assert pairs(n * 8 // 9) == [(1, 2)] and pairs(n * 17 // 20) == []
+    assert near_dedup.doubt(60, 60) == 0 and near_dedup.doubt(1_000_000, 1_000_000) > 300
+
+
 def test_leaks_with_edits_are_found_and_others_left(docs, spark):
     rnd = random.Random(12)
     prose = lambda n: " ".join(rnd.choice(WORDS) + rnd.choice("abcdefgh") + rnd.choice("klmnop") for _ in range(n))
