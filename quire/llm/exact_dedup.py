@@ -1,10 +1,12 @@
-"""Exact dedup through an extendible-hash index on shared files.
+"""Exact dedup by grouping; an extendible-hash directory labels the distinct texts.
+
+Copies are found by Spark's own grouping: by a hash key, and where a key is met again by the key and the text
+itself, compared byte by byte.  Keys that are met once need no text.  Copies are combined before any shuffle, so
+a text that fills a third of the table is one row a task.
 
 A directory of hash prefixes points to buckets of bounded size: a bucket with too many keys splits on its
-next bit, and the directory doubles when that bit is beyond its depth.  The index is written as one set of
-files per bucket into the shared folder; the task that owns a bucket owns a range of keys.  Keys that are
-met once need no text; for those met again the owner chains the distinct texts of a key, compared byte by
-byte.  Copies are combined before any shuffle, so a text that fills a third of the table is one row a task.
+next bit, and the directory doubles when that bit is beyond its depth.  It is made after the grouping and only
+tells the bucket of each distinct text: no task owns a range of keys, and the rows come from the grouping.
 
 Defined results: a null text counts as empty, and all empty texts are equal; of equal texts the largest
 doc_id stays; rows that share that doc_id are all kept; a null doc_id stays only in a group without any
