@@ -143,7 +143,7 @@ def removed(got):
     return sorted(str(tuple(r)) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
 
 
-@pytest.mark.parametrize("hot", [dict(), dict(hot_share=0.0, hot_least=8)])
+@pytest.mark.parametrize("hot", [dict(), dict(hot_least=3, sample=1, part_bytes=4000), dict(hot_least=1, sample=1, part_bytes=1500)])
 def test_removals_equal_brute_force(docs, hot):
     rnd = random.Random(11)
     prose = lambda n: " ".join(rnd.choice(WORDS) + rnd.choice(["", "s", "é"]) for _ in range(n))
@@ -153,6 +153,28 @@ def test_removals_equal_brute_force(docs, hot):
     assert removed(suffix_dedup.removals(docs(rows), **hot)) == plain_removals(rows)
 
 
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_rows_on_the_way_grow_with_the_copies_and_not_with_the_partitions(docs, spark, partitions):
+    rnd = random.Random(19)
+    base = [rnd.choice(WORDS) + str(rnd.randrange(90)) for _ in range(80)]
+    made = []
+    for _ in range(800):
+        w = list(base)
+        for _ in range(3):
+            w[rnd.randrange(len(w))] = rnd.choice(WORDS) + str(rnd.randrange(10_000))
+        made.append(" ".join(w))
+
+    def rows(n):
+        t = suffix_dedup.find(docs(list(enumerate(made[:n]))).select("doc_id", "text"), Workspace(spark), 7, 1 << 16, 64)
+        return {k: t[k].count() for k in ("parsed", "owned", "reached", "windows")}
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    half, whole = rows(400), rows(800)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(whole[k] <= 2.3 * half[k] for k in whole), (half, whole)
+
+
 def test_suffix_odd(odd, none, docs):
     assert removed(suffix_dedup.removals(odd)) == plain_removals([(r.doc_id, r.text) for r in odd.collect()])
     assert suffix_dedup.removals(none).count() == 0
