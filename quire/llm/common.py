@@ -19,11 +19,13 @@ _spaces: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master may leave it unset: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="quire-shared-")
         spark.sparkContext.setCheckpointDir(base)
@@ -38,10 +40,12 @@ class Workspace:
         self.root = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
         _spaces.append((spark, self.root))
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes and reads again; with ``by``, a set of files for each value of that column."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        write = df.write.mode("overwrite")
+        (write.partitionBy(by) if by else write).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:

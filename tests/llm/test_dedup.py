@@ -33,14 +33,45 @@ def test_exact_groups_chain_collisions(docs, bits):
     assert sorted(str(tuple(r)) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == plain_groups(rows)
 
 
-def test_directory_doubles_until_buckets_fit(spark):
-    counts = {k: 1 for k in range(64)} | {5: 40}
-    d = exact_dedup.Directory(counts, 6, 16)
-    assert len(d.slots) == 1 << d.depth
-    sizes = {s: sum(counts[k] for k in range(s[0] << 6 - s[1], s[0] + 1 << 6 - s[1])) for s in set(d.slots)}
-    assert all(n <= 16 or s[1] == 6 for s, n in sizes.items()) and sum(sizes.values()) == sum(counts.values())
-    keys = spark.createDataFrame([(k << 57,) for k in range(64)], "key bigint").select("key", d.bucket(__import__("pyspark").sql.functions.col("key")).alias("b"))
-    assert all(r.b == d.slots[r.key >> 63 - d.depth][0] << 63 - d.slots[r.key >> 63 - d.depth][1] for r in keys.collect())
+def test_directory_doubles_until_buckets_fit():
+    rnd = random.Random(3)
+    keys = [rnd.getrandbits(63) for _ in range(400)] + [(5 << 55) + (k << 49) for k in range(60)] + [7 << 45] * 30
+    calls = []
+
+    def count(prefixes, local, known):
+        calls.append(known)
+        out = {}
+        for k in keys:
+            if k >> 63 - local in prefixes:
+                out[k >> 63 - known] = out.get(k >> 63 - known, 0) + 1
+        return out
+
+    d = exact_dedup.Directory(count, 14, 16, 4, 3)
+    firsts = d.firsts()
+    assert len(d.slots) == 1 << d.depth == len(firsts) and len(calls) > 3
+    held = {}
+    for k in keys:
+        held.setdefault(int(firsts[k >> 63 - d.depth]), []).append(k)
+    for prefix, local in set(d.slots):
+        rows = held.pop(prefix << 63 - local, [])
+        assert all(k >> 63 - local == prefix for k in rows) and (len(rows) <= 16 or local == 14)
+    assert not held
+
+
+def test_index_alone_answers_and_buckets_are_files(docs, spark):
+    rows = [(i, f"text {i % 70}") for i in range(300)]
+    ws = Workspace(spark)
+    prints, index, directory = exact_dedup.build_index(docs(rows).select("doc_id", "text"), ws, 8)
+    assert directory.depth >= 3
+    found = index.collect()
+    assert len(found) == 70 and sum(r.group_size for r in found) == 300
+    assert {r.bucket for r in found} <= set(directory.firsts().tolist())
+    assert all(directory.firsts()[r.key >> 63 - directory.depth] == r.bucket for r in found)
+    import os
+
+    folders = [f for f in os.listdir(f"{ws.root}/index".removeprefix("file:")) if f.startswith("bucket=")]
+    assert {int(f.split("=")[1]) for f in folders} == {r.bucket for r in found}
+    assert prints.count() == 300
 
 
 def test_exact_odd(odd, none):
