@@ -7,10 +7,11 @@ indexed; those shared are placed in overlapping diagonal bands of every whole te
 reaches the bound within a band is verified by banded alignment.  Letters are compared in lower case and each
 run of white space as one blank.
 
-The benchmark is indexed in blocks of at most ``block_chars`` characters: one block is broadcast at a time.
+The benchmark is indexed in blocks of at most ``block_chars`` characters. Documents are read once: a task holds
+HELD characters of them and searches those for one block after another.
 
 Defined results: null and empty texts hold nothing; benchmark texts under ``least`` characters are too
-short to tell and match nothing; equal benchmark texts each give their own rows; repeated documents give
+short to tell within a text and match only a document whose whole text they are; equal benchmark texts each give their own rows; repeated documents give
 repeated rows; an empty benchmark gives no rows.
 """
 
@@ -32,8 +33,8 @@ SEGMENT = 100
 PERCENT = 6
 BAND = 16
 SLOTS = 20
-#: Stretches aligned at once.
-ALIGNED = 2048
+#: Stretches aligned at once; characters of text held while the blocks of a large benchmark go by.
+ALIGNED, HELD = 2048, 1 << 25
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -85,10 +86,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: int):
         self.items: list[Item] = []
+        self.short: dict[bytes, list[int | None]] = {}
         hashes, owners, offsets = [], [], []
         for item, text in items:
             code = plain((text or "").strip())[0]
             if len(code) < max(least, Q):
+                if len(code):
+                    self.short.setdefault(code.tobytes(), []).append(item)
                 continue
             size = min(len(code), SEGMENT)
             budget = size * PERCENT // 100
@@ -152,6 +156,11 @@ class Index:
 
     def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item, start, end, edits) of each region of the text: code points, regions of one item merged."""
+        if self.short:
+            bare = text.strip()
+            begin = text.find(bare)
+            if bare and (items := self.short.get(plain(bare)[0].tobytes())):
+                return [(item, begin, begin + len(bare), 0) for item in items]
         if len(text) < Q or not self.items:
             return []
         with np.errstate(over="ignore"):
@@ -247,22 +256,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 24, block_chars: i
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_chars))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, start_char bigint, end_char bigint, edits bigint"
-    out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        packed = spark.sparkContext.broadcast([tuple(r) for r in part.sort("item_id", "text").collect()])
-
-        def run(batches, packed=packed):
-            index = Index(packed.value, least)
-            for batch in batches:
-                found = [(i, *x) for i, t in enumerate(texts(batch)) for x in index.search(t)]
-                if found:
-                    at, item, start, end, edits = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int64())], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
-
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    packed = [spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()]) for b in range(blocks)]
+
+    def run(batches):
+        index = Index(packed[0].value, least) if blocks == 1 else None
+
+        def search(held):
+            for block in packed:
+                look = index or Index(block.value, least)
+                for batch in held:
+                    found = [(i, *x) for i, t in enumerate(texts(batch)) for x in look.search(t)]
+                    if found:
+                        at, item, start, end, edits = zip(*found)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int64())], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
+
+        held, chars = [], 0
+        for batch in batches:
+            held.append(batch)
+            chars += batch.nbytes
+            if index or chars >= HELD:
+                yield from search(held)
+                held, chars = [], 0
+        yield from search(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

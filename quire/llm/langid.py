@@ -1,9 +1,10 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over every learnable row.  The weights are fitted with
-follow-the-regularised-leader (per-coordinate rates, elastic-net penalty) on at most
-``per_language`` rows of each language, chosen by a hash of doc_id; a second such sample sets the
-temperature that calibrates the scores.  Prediction reads whole texts.
+follow-the-regularised-leader (per-coordinate rates, elastic-net penalty) on a sample of at most 2 ``per_language``
+rows of each language and ``sample`` rows in all, chosen by a hash of the row: two thirds fit the weights, a third
+sets the temperature that calibrates the scores.  Every language that is met is learned; the weights are as large
+as the languages are many.  Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0; so does every text
 where nothing could be learned (empty tables, no language known).  Rows with a null doc_id are predicted
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import fold_of, map_batches, small_batches, texts
@@ -113,11 +114,11 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> N
     model.temperature = min(np.geomspace(0.02, 5, 60), key=loss)
 
 
-def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 256) -> Model:
-    """docs: doc_id, text, lang of the rows to learn from. Languages beyond the most common max_languages aren't learned."""
+def fit(docs: DataFrame, per_language: int = 300, sample: int = 200_000) -> Model:
+    """docs: doc_id, text, lang of the rows to learn from. At most 2 per_language rows of a language reach the driver, and ``sample`` in all or a row of each."""
     small_batches(docs.sparkSession)
     docs = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     model = Model(langs, np.ones(SIZE), np.zeros((SIZE, len(langs))), 1.0)
     if not langs:
@@ -140,10 +141,13 @@ def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 256) -> M
     df[list(counted)] = list(counted.values())
     model.idf = np.log((1 + total) / (1 + df)) + 1
 
-    spread = 1 << 40
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(spread, 2 * per_language * spread // n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(spread))
-    chosen = docs.where(F.col("lang").isin(langs)).withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+    spread, most = 1 << 40, max(1, min(2 * per_language, sample // len(langs)))
+    share = docs.sparkSession.createDataFrame([(lang, min(spread, 2 * most * spread // n)) for lang, n in sizes.items()], "lang string, share bigint")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(spread))
+    # twice the rows that are wanted are drawn, as repeated rows count once
+    drawn = docs.withColumn("draw", draw).join(F.broadcast(share), "lang").where(F.col("draw") < F.col("share")).drop("share").distinct()
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    chosen = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most).drop("at")
 
     def describe():
         def one(batch: pa.RecordBatch) -> dict:
@@ -158,7 +162,6 @@ def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 256) -> M
     rows = rows.sort_values(["draw", "doc_id"])
     rows["at"] = rows.groupby("lang").cumcount()
     made = [(np.asarray(f), np.asarray(c), langs.index(lang), at) for f, c, lang, at in zip(rows.found, rows.counts, rows.lang, rows["at"])]
-    made = [m for m in made if m[3] < 2 * per_language]
     half = [m[:3] for m in made if m[3] % 3] or [m[:3] for m in made]
     ftrl(model, half)
     calibrate(model, [m[:3] for m in made if m[3] % 3 == 0])
@@ -168,7 +171,7 @@ def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 256) -> M
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every document."""
     small_batches(docs.sparkSession)
-    packed = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x languages: bounded by max_languages
+    packed = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x languages
 
     def start():
         m = packed.value

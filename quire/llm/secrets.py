@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 MARK = "\u0001"
 CUES = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
-#: What a candidate looks like, at any length - a long run with a digit, a value behind a cue, a key block's head.
+PREFIXES = "AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_"
+#: What a candidate looks like, at any length - a long run with a digit, one with a known beginning, a value behind a cue, a key block's head.
 CANDIDATE = (
     r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+    rf"|(?<![A-Za-z0-9_+/=-])(?:{PREFIXES})[A-Za-z0-9_+/=-]{{12,}}+"
     rf"|(?<=[=:][\"' ]{{0,2}})(?<=(?i:{CUES})(?:[_-](?i:key))?[\"' ]{{0,2}}[=:][\"' ]{{0,2}})[^\s\"'{MARK}]{{6,}}+"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 )
@@ -60,7 +62,7 @@ def features(c: Column, left: Column, right: Column) -> list[Column]:
         yes(F.lower(left).rlike(f"(?:{CUES})[^a-z]{{0,6}}$")),
         yes(F.lower(left).rlike(rf"\b(?:{CALM})[^a-z]{{0,6}}$")),
         yes(F.lower(c).rlike(FAKE)),
-        yes(c.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_)")),
+        yes(c.rlike(f"^(?:{PREFIXES})")),
         yes(c.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         yes(c.startswith("-----BEGIN")),
     ]

@@ -276,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, prior: float = 0
         return one
 
     id_type = dict(docs.dtypes)["doc_id"]
-    known = map_batches(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), words_rows, f"doc_id {id_type}, toxic int, words binary, marks bigint").toPandas()
-    known = known.sort_values(["doc_id", "words"]).head(2 * sample)
+    known = map_batches(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), words_rows, f"doc_id {id_type}, toxic int, words binary, marks bigint")
+    known = known.orderBy("doc_id", "words", "marks").limit(2 * sample).toPandas()  # ids may repeat
     labelled_rows = [(set(bytes(w).split()), int(t), int(m)) for w, t, m in zip(known.words, known.toxic, known.marks)]
     given = [frozenset(w.encode() for w in text.split()) for text in LEXICONS.values()]
     scorer = Scorer(Voters(given, mine([r[:2] for r in labelled_rows])))
