@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Phrases and keywords that results depend on.
 WORKS = ["also by", "also from", "by the same author", "other books by", "other works by", "works by"]
 METADATA = ["base", "book design", "cover art", "copyright", "digital", "edited", "editor", "edition", "epub", "isbn", "original title", "published", "publisher", "release", "rights", "title:", "version"]
-CHAPTER_STARTS = ["chapter", "chap", "kapitel", "part", "del"]
+CHAPTER_STARTS = ["chapter ", "chap ", "kapitel ", "part ", "del "]
 CHAPTER_WORDS = ["afterword", "appendix", "epilogue", "introduction", "preface", "prolog", "prologue"]
 CREDIT_STARTS = ["adapted ", "afterword ", "edited ", "illustrated ", "introduction ", "translated ", "with "]
 SCENES = ["*", "* * *", "***", "****", "*****"]
@@ -53,7 +53,7 @@ def metadata_line(text: Column) -> Column:
 
 def chapterish(text: Column) -> Column:
     low = F.lower(text)
-    return low.rlike(f"^(?:{'|'.join(CHAPTER_STARTS)}) ") | low.isin(*CHAPTER_WORDS)
+    return low.rlike(f"^(?:{'|'.join(CHAPTER_STARTS)})") | low.isin(*CHAPTER_WORDS)
 
 
 def credit_label(text: Column) -> Column:

@@ -487,6 +487,7 @@ def _sync_ncx(book: Book, only: set[str]) -> list[str]:
 
 def _repair_page(book: Book, path: str, fix: bool, unlisted: bool) -> list[str]:
     actions: list[str] = []
+    listed, ids = {book.path_of(i) for i in book.items}, {i.get("id") for i in book.items}
     for n in list(book.page(path).root.elements()):
         for attr in [a for a in n.attrs if a in ("href", "src", "data") or (":" in a and a.endswith(":href"))]:
             value = n.get(attr)
@@ -504,10 +505,12 @@ def _repair_page(book: Book, path: str, fix: bool, unlisted: bool) -> list[str]:
             elif lost:
                 n.attrs[attr] = link.path
                 actions.append(f"Removed broken fragment: {value}")
-            elif unlisted and link.path and not (link.fragment and is_html(target)) and all(book.path_of(i) != target for i in book.items):
+            elif unlisted and link.path and not (link.fragment and is_html(target)) and target not in listed:
                 if media := mimetypes.guess_type(target)[0]:
                     stem = re.sub(r"[\W_]", "-", posixpath.splitext(posixpath.basename(target))[0]).strip("-")
-                    name = free_id(f"optimizer-{stem}", {i.get("id") for i in book.items})
+                    name = free_id(f"added-{stem}", ids)
+                    ids.add(name)
+                    listed.add(target)
                     href = relative(book.package_path, target)
                     book.manifest.append(book.manifest.like("item", id=name, href=href, **{"media-type": media}))
                     actions.append(f"Added manifest item for referenced resource: {href}")

@@ -189,12 +189,16 @@ def wrap_phrases(page: Page) -> None:
 def unique_ids(page: Page) -> None:
     taken = {n.get("id") for n in page.root.elements()}
     seen: set[str] = set()
+    following: dict[str, int] = {}
     for n in page.root.elements():
         name = n.get("id")
         if not name:
             continue
         if name in seen:
-            k = next(k for k in range(2, 1 << 30) if f"{name}-{k}" not in taken)
+            k = following.get(name, 2)
+            while f"{name}-{k}" in taken:
+                k += 1
+            following[name] = k + 1
             n.attrs["id"] = f"{name}-{k}"
             taken.add(n.attrs["id"])
         seen.add(n.attrs["id"])

@@ -53,13 +53,19 @@ def descendants(nodes_: DataFrame, local: str) -> DataFrame:
 
 
 def contents(nodes_: DataFrame, local: str) -> DataFrame:
-    """(doc_id, node_ix, content) of elements of one name: their text in document order."""
+    """(doc_id, node_ix, content) of elements of one name: their text in document order.
+
+    An element's text is a stretch of its document's: from the characters before the element to those up to its last
+    descendant.  So there is one running sum over each document, and equi-joins.
+    """
     text = F.when(F.col("kind") == "text", F.col("text")).when(F.col("kind") == "entity", F.concat(F.lit("&"), "text", F.lit(";")))
-    parts = nodes_.select("doc_id", F.col("node_ix").alias("ix"), text.alias("part")).where("part is not null")
-    tops = nodes_.where(F.col("local") == local).select("doc_id", "node_ix", "end_ix")
-    found = tops.join(parts, (tops.doc_id == parts.doc_id) & (parts.ix > tops.node_ix) & (parts.ix <= tops.end_ix), "left").select(tops.doc_id, "node_ix", "ix", "part")
-    listed = F.array_sort(F.collect_list(F.when(F.col("ix").isNotNull(), F.struct("ix", "part"))))
-    return found.groupBy("doc_id", "node_ix").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("content"))
+    run = Window.partitionBy("doc_id").orderBy("node_ix").rowsBetween(Window.unboundedPreceding, 0)
+    n = nodes_.select("doc_id", "node_ix", "end_ix", "local", F.coalesce(text, F.lit("")).alias("part")).withColumn("upto", F.sum(F.char_length("part")).over(run))
+    listed = F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("node_ix", "part"))))
+    whole = n.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("whole"))
+    tops = n.where(F.col("local") == local).select("doc_id", "node_ix", "end_ix", F.col("upto").alias("start"))
+    found = tops.join(n.select("doc_id", F.col("node_ix").alias("end_ix"), "upto"), ["doc_id", "end_ix"]).join(whole, "doc_id")
+    return found.select("doc_id", "node_ix", F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("upto") - F.col("start")).cast("int")).alias("content"))
 
 
 def anchors(nodes_: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import posixpath
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +71,28 @@ def library(listing: DataFrame) -> DataFrame:
     return r.where(ident.isNotNull() & F.col("title").isNotNull()).select(ident.alias("id"), "title", "authors", formats.alias("formats"), directory.alias("directory"))
 
 
+def jobs(spark: SparkSession, folder: str, output: str) -> DataFrame:
+    """(source, destination) of what ``run`` would do, by their real paths."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    name = paths.optimized_filename(F.col("book_id"))
+    return archives.listing(spark, folder).select(plain("path").alias("source"), F.concat(F.lit(paths.real(output) + "/"), name).alias("destination"))
+
+
 def run(spark: SparkSession, folder: str, output: str, options: Options = Options(), dry_run: bool = False, force: bool = False) -> DataFrame:
-    """Normalizes a folder of archives into another; failures stay in the rows returned."""
+    """Normalizes a folder of archives into another; failures stay in the rows returned. Raises UsageError before anything is written if two archives have one output or an output is an input."""
     books = archives.candidates(spark, folder)
     if dry_run:
         return preview(books, options.preserve_publisher_css)
-    done = normalize(books, options).persist()
+    if clash := clashes(jobs(spark, folder, output)).first():
+        raise UsageError(f"{clash.reason}: {clash.destination}")
+    done = normalize(books, options).persist(StorageLevel.DISK_ONLY)
     good = done.where("error is null").select(paths.optimized_filename(F.col("book_id")).alias("name"), F.col("output").alias("content"))
     ship(spark).dataSource.register(archives.FileSink)
     good.write.format("quire_files").option("force", str(force).lower()).mode("append").save(output)
-    return done.drop("output")
+    report = done.drop("output").persist()
+    report.count()
+    done.unpersist()
+    return report
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:

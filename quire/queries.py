@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire import corpus
+from quire import cases, corpus
 from quire.corpus import table
 from quire.functions import paths, shapes, uris
 from quire.operators import classify, findings, rewrite, tables
@@ -281,7 +281,7 @@ def _any(words: list[str]) -> str:
 
 
 META_SQL = rf"({_any(shapes.METADATA)} OR (contains(line, ':') AND length(line) <= 100) OR (length(line) <= 40 AND regexp_matches(line, '\p{{N}}') AND regexp_matches(line, '[-/.:]')))"
-CHAPTER_SQL = f"(regexp_matches(lower(line), '^({'|'.join(shapes.CHAPTER_STARTS)}) ') OR lower(line) IN ({', '.join(repr(w) for w in shapes.CHAPTER_WORDS)}))"
+CHAPTER_SQL = f"(regexp_matches(lower(line), '^({'|'.join(shapes.CHAPTER_STARTS)})') OR lower(line) IN ({', '.join(repr(w) for w in shapes.CHAPTER_WORDS)}))"
 CREDIT_SQL = f"(length(line) <= 80 AND (contains(lower(line), ' by') OR contains(lower(line), 'by ') OR contains(lower(line), ' from ') OR regexp_matches(lower(line), '^({'|'.join(shapes.CREDIT_STARTS)})')))"
 
 
@@ -309,11 +309,15 @@ def doc_refine_contents(spark, sf):
     return a.select("doc_id", "short", "chapters", ((F.col("n_lines") >= 5) & F.lower(F.trim("first_line")).isin(*classify.CONTENTS_HEADINGS) & (10 * F.col("short") >= 8 * F.least("n_lines", F.lit(80))) & (F.col("chapters") >= 3)).alias("is_contents"))
 
 
-@query("""SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 3 * 500) + 1 AS n FROM documents) WHERE (n * 20) % 1024 <> 0 AND (n * 20) % 1048576 <> 0""")
+def _tenths(unit: int) -> str:
+    """Of n units with one decimal, ties to even, in integers."""
+    t = f"(n * 10 // {unit} + CASE WHEN n * 10 % {unit} * 2 > {unit} OR (n * 10 % {unit} * 2 = {unit} AND n * 10 // {unit} % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"({t} // 10) || '.' || ({t} % 10)"
+
+
+@query(f"SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_tenths(1024)} || ' KB' ELSE {_tenths(1048576)} || ' MB' END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 3 * 500) + 1 AS n FROM documents)")
 def human_size(spark, sf):
-    n = F.col("n")
-    d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") * (1 + F.col("doc_id") % 3 * 500) + 1).alias("n"))
-    return d.where(((n * 20) % 1024 != 0) & ((n * 20) % 1048576 != 0)).select("doc_id", shapes.human_size(n).alias("size"))
+    return table(spark, sf, "documents").select("doc_id", shapes.human_size(F.col("n_chars") * (1 + F.col("doc_id") % 3 * 500) + 1).alias("size"))
 
 
 # Findings. ------------------------------------------------------------------------------------------
@@ -324,9 +328,9 @@ def finding_multiset_diff(spark, sf):
     return findings.multiset_diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["code", "path"])
 
 
-@query("SELECT lang AS code, substr(text, 1, 1) AS message, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ', ') AS paths FROM documents GROUP BY ALL")
+@query("SELECT lang AS code, text AS message, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ', ') AS paths FROM documents GROUP BY ALL")
 def findings_grouped(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("lang").alias("code"), F.substring("text", 1, 1).alias("message"), F.col("source").alias("path"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("code"), F.col("text").alias("message"), F.col("source").alias("path"))
     return findings.grouped(d)
 
 
@@ -344,18 +348,18 @@ def checker_json_explode(spark, sf):
 # Whole-document and whole-book workers. -------------------------------------------------------------
 @query()
 def node_table(spark, sf):
-    n = tables.nodes(table(spark, sf, "pages"))
+    n = tables.nodes(table(spark, sf, "pages").repartition("page_id"))
     return n.groupBy(F.col("doc_id").alias("page_id"), "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
 @query()
 def paragraph_texts(spark, sf):
-    return tables.contents(tables.nodes(table(spark, sf, "pages")), "p").select(F.col("doc_id").alias("page_id"), "node_ix", F.char_length("content").alias("n_chars"))
+    return tables.contents(tables.nodes(table(spark, sf, "pages").repartition("page_id")), "p").select(F.col("doc_id").alias("page_id"), "node_ix", F.char_length("content").alias("n_chars"))
 
 
 @query()
 def phrase_runs(spark, sf):
-    return tables.phrase_runs(tables.nodes(table(spark, sf, "pages"))).withColumnRenamed("doc_id", "page_id")
+    return tables.phrase_runs(tables.nodes(table(spark, sf, "pages").repartition("page_id"))).withColumnRenamed("doc_id", "page_id")
 
 
 def _pages_done(spark: SparkSession, sf: str, one, schema: str, types: list[pa.DataType]) -> DataFrame:
@@ -364,12 +368,13 @@ def _pages_done(spark: SparkSession, sf: str, one, schema: str, types: list[pa.D
             rows = [one(i, html or "") for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return table(ship(spark), sf, "pages").select("page_id", "html").mapInArrow(run, schema)
+    # parsing is heavy in CPU and the table may be one row group
+    return table(ship(spark), sf, "pages").select("page_id", "html").repartition("page_id").mapInArrow(run, schema)
 
 
-@query()
+@query("SELECT page_id, true AS text_kept, true AS settled FROM pages")
 def normalize_pages(spark, sf):
-    """Each page rewritten: whether its text is kept and a second pass changes nothing."""
+    """Each page rewritten: its text is kept and a second pass changes nothing."""
     import re
 
     from quire.markup import parse
@@ -378,13 +383,13 @@ def normalize_pages(spark, sf):
         out = rewrite.normalize(html)
         before, after = parse(html), parse(out or "")
         if before is None or after is None:
-            return i, None, None, None
+            return i, None, None
         for n in before.root.named("style"):
             n.remove_with_tail()
         bare = lambda d: re.sub(r"\s", "", d.root.content())
-        return i, len(out), bare(before) == bare(after), rewrite.normalize(out) == out
+        return i, bare(before) == bare(after), rewrite.normalize(out) == out
 
-    return _pages_done(spark, sf, one, "page_id bigint, n_chars bigint, text_kept boolean, settled boolean", [pa.int64(), pa.int64(), pa.bool_(), pa.bool_()])
+    return _pages_done(spark, sf, one, "page_id bigint, text_kept boolean, settled boolean", [pa.int64(), pa.bool_(), pa.bool_()])
 
 
 @query()
@@ -425,7 +430,12 @@ def books(spark: SparkSession, sf: str, per_book: int = 16) -> DataFrame:
     return pages.groupBy("b").applyInArrow(build, "book_id string, content binary")
 
 
-@query()
+#: The pages of the books below, with the links that lead out of the book's root and those whose target is not there.
+IN_BOOKS = "b AS (SELECT 'b' || page_id // 16 || '.epub' AS book_id, count(*) AS n, sum(len(regexp_extract_all(html, '(?:href|src)=\"/[^\"]*\"')))::BIGINT AS out, count(*) FILTER (page_id % 3 <> 0) AS lost FROM pages GROUP BY 1)"
+
+
+# five files besides the pages
+@query(f"WITH {IN_BOOKS} SELECT book_id, n + 5 AS n_files, true AS same FROM b")
 def archive_round_trip(spark, sf):
     """Books exploded, packed again and exploded: the same files."""
     made = books(spark, sf)
@@ -435,17 +445,20 @@ def archive_round_trip(spark, sf):
     return digest(first, "a").join(digest(again, "b"), "book_id").select("book_id", F.col("n_a").alias("n_files"), ((F.col("n_a") == F.col("n_b")) & (F.col("h_a") == F.col("h_b"))).alias("same"))
 
 
-@query()
+@query(f"WITH {IN_BOOKS} SELECT book_id, 'unavailable' AS outcome, n AS content_documents, 2 AS removed_items, true AS nav_added, out + lost AS n_actions, 0 AS n_warnings, CAST(NULL AS VARCHAR) AS error FROM b")
 def normalize_books(spark, sf):
-    return plan.normalize(books(spark, sf)).select("book_id", "outcome", "content_documents", "removed_items", "nav_added", F.size("actions").alias("n_actions"), F.size("warnings").alias("n_warnings"), F.sha2("output", 256).alias("sha"), "error")
+    return plan.normalize(books(spark, sf)).select("book_id", "outcome", "content_documents", "removed_items", "nav_added", F.size("actions").alias("n_actions"), F.size("warnings").alias("n_warnings"), "error")
 
 
-@query()
+@query(f"""WITH {IN_BOOKS} SELECT book_id, book_id AS input_filename, '3.0' AS epub_version, 'OEBPS/book.opf' AS package_path, n AS content_documents, 2 AS stylesheets_and_fonts, 2 AS removable_files, 0 AS images_preserved, true AS would_write_canonical_css, 0 AS n_diagnostics,
+ 'Would normalize ' || n || ' content document(s). Would replace 2 stylesheet/font manifest item(s). Would delete 2 old style/font file(s). Would preserve 0 image resource(s) without recompression. Would write the canonical stylesheet.' AS summary, 0 AS n_warnings, CAST(NULL AS VARCHAR) AS error FROM b""")
 def preview_books(spark, sf):
-    return plan.preview(books(spark, sf))
+    p = plan.preview(books(spark, sf))
+    more = {"n_diagnostics": F.size("image_diagnostics"), "summary": F.array_join("change_summary", " "), "n_warnings": F.size("warnings")}
+    return p.withColumns(more).drop("image_diagnostics", "change_summary", "warnings")
 
 
-@query()
+@query(f"WITH {IN_BOOKS} SELECT book_id, 'warning' AS severity, 'missing-link-target' AS code, lost AS n FROM b WHERE lost > 0 UNION ALL SELECT book_id, 'error', 'unsafe-link-target', out FROM b WHERE out > 0")
 def validate_books(spark, sf):
     return plan.validate(books(spark, sf)).groupBy("book_id", "severity", "code").agg(F.count("*").alias("n"))
 
@@ -457,6 +470,10 @@ def corpus_preview(spark, sf):
     return corpus.url_parts(pages).join(n, "page_id").groupBy("site").agg(F.count("*").alias("n_pages"), F.countDistinct("path").alias("n_paths"), F.count_if(F.col("fragment") != "").alias("n_anchored"), F.sum("n").alias("n_links"))
 
 
+for _name, (_query, _oracle) in cases.QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _query, _oracle
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -31,9 +31,14 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Archives of a folder that are no kept originals, in the order of their folded names."""
+    """Archives of a folder that are no kept originals. Contents are never sorted; ``listing`` has the order."""
     low = F.lower("book_id")
-    return books(spark, path).where(low.endswith(".epub") & ~low.endswith(".original.epub")).orderBy(low)
+    return books(spark, path).where(low.endswith(".epub") & ~low.endswith(".original.epub"))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """The same without contents, in the order of their folded names."""
+    return candidates(spark, path).drop("content").orderBy(F.lower("book_id"), "path")
 
 
 def safe_name(name: str) -> str:

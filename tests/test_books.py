@@ -229,3 +229,11 @@ def test_job_plans(tmp_path):
         with pytest.raises(SystemExit) as e:
             batch.arguments(argv)
         assert e.value.code == 2
+
+
+def test_only_blank_text_is_empty():
+    from quire.markup import parse
+    from quire.operators import classify
+
+    root = parse('<html><body><p/><p> </p><p><a id="x"/></p><p><br/></p><p><!-- note --></p><p>t</p><div><hr/></div></body></html>').root
+    assert [classify.is_empty(n) for n in root.named("p", "div")] == [True, True, False, False, False, False, False]

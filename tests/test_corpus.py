@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quire.plans import batch
@@ -95,3 +97,20 @@ def test_arrivals_by_window(spark, tmp_path):
     q = intake.arrivals(intake.books(spark, str(d))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.books for r in spark.table("arrivals").collect()) == 2
+
+
+def test_clashing_jobs_are_refused_before_anything_is_written(spark, tmp_path):
+    from quire.plans import batch
+    from quire.sources import archives
+
+    for place in ("in/x", "in/y"):
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "a.epub").write_bytes(b"not an archive")
+    with pytest.raises(batch.UsageError):
+        batch.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), force=True)
+    assert not (tmp_path / "out").exists()
+    (tmp_path / "in" / "x" / "B-optimized.epub").write_bytes(b"x")
+    names = [r.book_id for r in archives.listing(spark, str(tmp_path / "in")).collect()]
+    assert names == ["a.epub", "a.epub", "B-optimized.epub"]
+    with pytest.raises(batch.UsageError):
+        batch.run(spark, str(tmp_path / "in" / "x"), str(tmp_path / "in" / "x"), force=True)
