@@ -3,7 +3,8 @@
 Many voters look at a text: lexicons (given ones, and ones mined from labelled rows) and patterns.  Their
 vote patterns are counted over all documents.  A generative label model, fitted by expectation
 maximisation on those counts and on the labelled rows, estimates each voter's rates per class and the
-correlation of voters within a class; correlated voters share their weight.  A sparse linear classifier
+correlations of voters within a class: voters form a tree, and the chance of a vote depends on the class and on
+the vote of the voter above it, so what correlated voters say together counts once.  A sparse linear classifier
 over words and voters is then trained on the posterior labels of at most ``sample`` documents.
 
 Only labels of rows whose crc32(doc_id) mod 5 isn't 0 are used; label tables with several rows of a
@@ -87,59 +88,112 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """Rates of each voter in either class; voters of one clique share their weight."""
+    """The chance of each vote given the class and the vote of the voter it depends on: a tree of correlated voters."""
 
     prior: float
     rates: np.ndarray  # class x voter
-    weight: np.ndarray
-    correlation: np.ndarray
+    parent: np.ndarray  # the voter that each depends on; -1: none
+    given: np.ndarray  # class x vote of the parent x voter
     scale: float = 1.0
     shift: float = 0.0
 
+    def chances(self, v: np.ndarray) -> np.ndarray:
+        """class x row x voter: how likely it is that each voter says toxic."""
+        said = (v[:, self.parent] > 0) & (self.parent >= 0)
+        return np.where(said, self.given[:, 1, None], np.where(self.parent >= 0, self.given[:, 0, None], self.rates[:, None]))
+
     def log_odds(self, v: np.ndarray) -> np.ndarray:
         """A voter that says nothing abstains: only votes count."""
-        r = np.log(self.rates)
-        return self.shift + self.scale * (np.log(self.prior / (1 - self.prior)) + v @ ((r[1] - r[0]) * self.weight))
+        r = np.log(self.chances(v))
+        return self.shift + self.scale * (np.log(self.prior / (1 - self.prior)) + (v * (r[1] - r[0])).sum(1))
 
     def with_silence(self, v: np.ndarray) -> np.ndarray:
         """The log odds if silence counts too; rates are estimated with these."""
-        silent = np.log1p(-self.rates)
-        return np.log(self.prior / (1 - self.prior)) + (v * (np.log(self.rates[1]) - np.log(self.rates[0])) + (1 - v) * (silent[1] - silent[0])) @ self.weight
+        r = self.chances(v)
+        said, silent = np.log(r), np.log1p(-r)
+        return np.log(self.prior / (1 - self.prior)) + (v * (said[1] - said[0]) + (1 - v) * (silent[1] - silent[0])).sum(1)
 
     def calibrate(self, patterns: np.ndarray, labelled: np.ndarray) -> None:
-        """Scale and shift of least log loss on the labelled rows, by Newton's method with a light ridge."""
+        """Scale and shift of least log loss on the labelled rows, by Newton's method with a light ridge; a step that doesn't lower the loss is halved."""
         z = self.log_odds(patterns)
         x = np.stack([z, np.ones(len(z))], 1)
-        total, theta = labelled.sum(1), np.array([1.0, 0.0])
-        for _ in range(25):
+        total, start = labelled.sum(1), np.array([1.0, 0.0])
+
+        def loss(theta: np.ndarray) -> float:
+            return float((total * np.logaddexp(0, x @ theta) - labelled[:, 1] * (x @ theta)).sum() + ((theta - start) ** 2).sum() / 2)
+
+        theta = start
+        for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            slope = x.T @ (total * p - labelled[:, 1]) + (theta - [1.0, 0.0])
+            slope = x.T @ (total * p - labelled[:, 1]) + theta - start
             curve = (x * (total * p * (1 - p))[:, None]).T @ x + np.eye(2)
-            theta = theta - np.linalg.solve(curve, slope)
-        if theta[0] > 0 and np.isfinite(theta).all():
+            step = np.linalg.solve(curve, slope)
+            while np.abs(step).max() > 1e-6 and not loss(theta - step) < loss(theta):
+                step = step / 2
+            if np.abs(step).max() <= 1e-6:
+                break
+            theta = theta - step
+        if theta[0] > 0:
             self.scale, self.shift = map(float, theta)
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, prior: float, rounds: int = 3, steps: int = 30) -> LabelModel:
-    """patterns: distinct vote vectors; counts: of all rows; labelled: of labelled rows, a column a class."""
+def dependence(patterns: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """voter x voter: the mutual information of two votes given the class, in nats. mass: class x row."""
+    out = np.zeros((patterns.shape[1],) * 2)
+    for m in mass:
+        total = max(m.sum(), 1e-9)
+        both = (patterns * m[:, None]).T @ patterns / total
+        one = np.diag(both)
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = both if a and b else one[:, None] - both if a else one - both if b else 1 - one[:, None] - one + both
+                apart = np.outer(one if a else 1 - one, one if b else 1 - one)
+                out += total / mass.sum() * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(apart, 1e-12)), 0)
+    return out
+
+
+def spanning(weight: np.ndarray, least: float = 1e-5) -> np.ndarray:
+    """The parent of each voter in the forest of largest weight; pairs of less than ``least`` aren't joined."""
+    k = len(weight)
+    parent, best, link, left = np.full(k, -1), np.full(k, -np.inf), np.full(k, -1), set(range(k))
+    while left:
+        j = max(left, key=lambda x: (best[x], -x))
+        left.remove(j)
+        if best[j] > least:
+            parent[j] = link[j]
+        for x in left:
+            if weight[j, x] > best[x]:
+                best[x], link[x] = weight[j, x], j
+    return parent
+
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, prior: float, rounds: int = 3, steps: int = 30, firm: float = 4.0) -> LabelModel:
+    """patterns: distinct vote vectors; counts: of all rows; labelled: of labelled rows, a column a class.
+
+    Expectation maximisation; the first round takes voters for independent, the others join them in the tree that the
+    posteriors of the round before give.  A chance given the parent's vote leans on the voter's rate like ``firm`` rows.
+    """
     k = patterns.shape[1]
-    model = LabelModel(prior, np.vstack([np.full(k, 0.01), np.full(k, 0.4)]), np.ones(k), np.eye(k))
+    model = LabelModel(prior, np.vstack([np.full(k, 0.01), np.full(k, 0.4)]), np.full(k, -1), np.full((2, 2, k), 0.5))
     # labels count so much that the unlabelled rows don't outweigh them
     gain = max(1.0, 0.5 * counts.sum() / max(labelled.sum(), 1))
-    for _ in range(rounds):
+    for turn in range(rounds):
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(model.with_silence(patterns), -30, 30)))
             mass = np.stack([counts * (1 - p), counts * p]) + gain * labelled.T
             for c, start in ((0, 0.01), (1, 0.3)):
-                model.rates[c] = np.clip((mass[c] @ patterns + 2 * start) / (mass[c].sum() + 2), 1e-4, 0.98)
+                both = (patterns * mass[c][:, None]).T @ patterns
+                one, total = np.diag(both), mass[c].sum()
+                model.rates[c] = np.clip((one + 2 * start) / (total + 2), 1e-4, 0.98)
+                up = np.maximum(model.parent, 0)
+                yes = both[up, np.arange(k)]
+                for vote, n, said in ((1, one[up], yes), (0, total - one[up], one - yes)):
+                    model.given[c, vote] = np.clip((said + firm * model.rates[c]) / (n + firm), 1e-4, 0.98)
             # a voter says toxic at least as often in toxic texts
             model.rates[1] = np.maximum(model.rates[1], model.rates[0])
-        centred = [(patterns - model.rates[c]) * np.sqrt(mass[c])[:, None] for c in (0, 1)]
-        cov = sum(x.T @ x for x in centred) / max(mass.sum(), 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        model.correlation = cov / np.outer(sd, sd)
-        off = np.abs(model.correlation) - np.eye(k)
-        model.weight = 1 / (1 + np.where(off > 0.2, off, 0).sum(1))
+            model.given[1] = np.maximum(model.given[1], model.given[0])
+        if turn < rounds - 1 and k:
+            model.parent = spanning(dependence(patterns, mass))
     if labelled.sum():
         model.calibrate(patterns, labelled)
     return model
