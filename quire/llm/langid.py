@@ -185,10 +185,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), start, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None, label: str = "lang") -> DataFrame:
     """The documents with a letter, in the columns they came with; with a list of accepted languages, those predicted to be in one of them.
 
-    Where nothing could be learned, no language is told of any text: all with a letter stay, unless languages are asked for.
+    Documents whose ``label`` is null get the predicted language there; a label that is given stays.  Where nothing could
+    be learned, no language is told of any text: all with a letter stay as they are, unless languages are asked for.
     """
     small_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast((model, accepted))
@@ -196,13 +197,17 @@ def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None)
     def run(batches):
         m, only = packed.value
         for batch in batches:
+            told = [m.predict(t) for t in texts(batch)]
             at = []
-            for i, t in enumerate(texts(batch)):
-                lang, score = m.predict(t)
+            for i, (t, (lang, score)) in enumerate(zip(texts(batch), told)):
                 # only a text without a letter has score 0, but where nothing was learned all have
                 known = score > 0 or not m.langs and grams(t) is not None
                 if known and (only is None or score > 0 and lang in only):
                     at.append(i)
+            if label in batch.schema.names and m.langs:
+                k = batch.schema.get_field_index(label)
+                given = batch.column(k).to_pylist()
+                batch = batch.set_column(k, batch.schema.field(k), pa.array([lang if x is None and score > 0 else x for x, (lang, score) in zip(given, told)], batch.column(k).type))
             yield batch.take(pa.array(at, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
