@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: texts without a letter. The model learns from the same rows as op9."""
+    """Drops what has no language, texts without a letter, and labels documents of no known language. The model learns from the same rows as op9."""
     docs = docs.select(COLUMNS)
     return langid.keep_known(docs, langid.fit(docs.where(fold_of(F.col("doc_id")) != 0)))
 
