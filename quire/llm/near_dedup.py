@@ -3,9 +3,10 @@
 Texts with equal shingle sets form a class, of which one row goes on.  HASHES minima in BANDS bands of
 ROWS miss a pair at the threshold of 0.8 with probability (1 - 0.8^ROWS)^BANDS < 1e-7.  Each text is first
 compared with one hub of its buckets; components of what is confirmed come from large-star and small-star.
-Only buckets that then still hold several components are compared further, in blocks, so that a large
-group of copies costs one comparison a text and still no link is lost.  A link counts only if the full
-sets confirm it.
+Only buckets that then still hold several components are compared further.  Those of more than ``block``
+texts are dealt anew by the rarest shingles of each text (a prefix filter, which loses no link), so that
+texts of one template, alike but below the threshold, don't meet by the square of their number.  A large
+group of copies costs one comparison a text.  A link counts only if the full sets confirm it.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own
 component; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node,
@@ -29,6 +30,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 21
+#: Counters by which shingles are put in order, the rarest first.
+SLOTS = 1 << 16
 _M1, _M2, _BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x5851F42D4C957F2D))
 
 
@@ -172,21 +175,48 @@ def doubt(n: int, m: int) -> float:
     return 2 + expected + 8 * expected**0.5 if n * m > 4096 else 0
 
 
+def sized(members: DataFrame, block: int) -> DataFrame:
+    """members (key, comp, ...) of keys with several components, with top (the largest component of the key), of it and of others the blocks."""
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.sum("c").alias("held"), F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / block)
+    keys = keys.select("key", "held", F.col("m.comp").alias("top"), (F.col("held") - F.col("m.c")).alias("others"), blocks(F.col("m.c")).alias("top_blocks"), blocks(F.col("held") - F.col("m.c")).alias("blocks"))
+    return members.join(keys, "key")
+
+
+def cells_of(members: DataFrame) -> DataFrame:
+    """The cells (key, low, high) in which members meet: those in the block ``low`` meet those in ``high``.
+
+    Members of the largest component never meet each other, so those beside few others are in a cell each, and a large
+    component costs rows in proportion.  Others meet block by block, and with each block of the largest component.
+    """
+    top = F.col("comp") == F.col("top")
+    mine = F.pmod(F.xxhash64("rep"), F.when(top, F.col("top_blocks")).otherwise(F.col("blocks")))
+    count = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    # blocks of the largest component are numbered from -1 downwards
+    cell = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    held = F.transform(count(F.col("blocks")), lambda k: cell(-1 - F.col("mine"), k))
+    passing = F.transform(count(F.col("top_blocks")), lambda k: cell(-1 - k, F.col("mine")))
+    among = F.transform(count(F.col("blocks")), lambda k: cell(F.least("mine", k), F.greatest("mine", k)))
+    cells = members.withColumn("mine", mine).withColumn("cell", F.explode(F.when(top, held).otherwise(F.concat(passing, among))))
+    return cells.withColumn("low", F.col("cell.low")).withColumn("high", F.col("cell.high")).withColumn("mine", F.when(top, F.col("low")).otherwise(F.col("mine"))).drop("cell")
+
+
 def cross_block(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that join different components of one bucket, block by block.
 
-    members: key, band, rep, comp, n, signature, short, blocks (of its bucket).  Signatures say which pairs may
-    reach the threshold, the cut sets decide; a pair is looked at in the first band that it shares, and not
-    at all once its components are joined.
+    members: key, band, rep, comp, n, signature, short, and what ``sized`` adds.  Signatures say which pairs may
+    reach the threshold, the cut sets decide; a pair is looked at in the first band that it shares, or with a band
+    of -1 under the least key that both prefixes hold, and not at all once its components are joined.
     """
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    rows = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "rep", "comp", "n", "signature", "short")
+    cells = cells_of(members)
+    rows = cells.select("key", "low", "high", "mine", "band", "rep", "comp", "n", "signature", "short", "prefix")
     floor = int(HASHES * (percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
 
     def near(t: pa.Table) -> pa.Table:
         rep, comp, n, mine = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "mine"))
-        low, high, band = (t.column(c)[0].as_py() for c in ("low", "high", "band"))
+        low, high, band, key = (t.column(c)[0].as_py() for c in ("low", "high", "band", "key"))
+        prefix = [np.frombuffer(x, np.int64) for x in t.column("prefix").to_pylist()] if band < 0 else []
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
         short = [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
@@ -206,10 +236,10 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
             same = sig[j] == sig[i]
             score = same.sum(1)
             first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            ok = (score >= floor) & (first == band)
+            ok = (score >= floor) & ((first == band) | (band < 0))
             for k in j[ok][np.argsort(-score[ok], kind="stable")]:
                 a, b = root(int(comp[i])), root(int(comp[k]))
-                if a == b:
+                if a == b or prefix and np.intersect1d(prefix[i], prefix[k], True)[0] != key:
                     continue
                 shared = len(np.intersect1d(short[i], short[k], True))
                 # cut hashes may be wrong by some shingles in large sets: what is near the bound goes on to the full sets
@@ -225,6 +255,41 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "low", "high").applyInArrow(near, "u bigint, v bigint").distinct()
 
 
+def rare_keys(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, prefix): the rarest shingles of each text, by which crowded buckets are dealt anew, and all of them in order.
+
+    With all shingles of the crowd in one order, two sets that reach the threshold share one of the first
+    n - ceil(n percent / 100) + 1 of each: that holds for any order, so no link is lost.  Here shingles come by how often
+    their SLOTS-valued hash is met in the crowd, so that texts which share only what is common to it don't meet.
+    """
+    grams = sets.join(crowd, sets["doc_id"] == crowd["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "grams")
+    slot = lambda g: (g.view(np.uint64) >> np.uint64(17)).astype(np.int64) % SLOTS
+
+    def count(batches):
+        met = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            met += np.bincount(slot(batch.column("grams").flatten().to_numpy()), minlength=SLOTS)
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[at])], names=["slot", "n"])
+
+    often = np.zeros(SLOTS, np.int64)
+    for r in grams.select("grams").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        often[r["slot"]] = r["n"]
+
+    def first():
+        def one(batch: pa.RecordBatch) -> dict:
+            keys = []
+            for g in batch.column("grams"):
+                g = np.asarray(g.values.to_numpy())
+                keys.append(g[np.lexsort((g, often[slot(g)]))][: len(g) + percent * len(g) // -100 + 1])
+            return {"rep": batch.column("rep"), "keys": pa.array(keys, pa.list_(pa.int64())), "prefix": pa.array([np.sort(k).tobytes() for k in keys], pa.binary())}
+
+        return one
+
+    found = map_batches(grams, first, "rep bigint, keys array<bigint>, prefix binary")
+    return found.select(F.explode("keys").alias("key"), "rep", "prefix")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept. doc_id is a bigint."""
     small_batches(docs.sparkSession)
@@ -250,9 +315,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
 
     placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     placed = ws.stage(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(reps, "rep").join(sets.select(F.col("doc_id").alias("rep"), "short"), "rep")
-    more = confirm(sets, cross_block(rest.withColumn("blocks", F.ceil(F.col("size") / block)), percent), percent, ws, "rest")
+    left = ws.stage(sized(placed.drop("size"), block), "mixed").withColumn("prefix", F.lit(None).cast("binary"))
+    # few beside one large component meet as they are; many are dealt anew
+    few = F.col("others") <= block
+    crowd = left.where(~few).groupBy("rep").agg(F.min("comp").alias("comp"))
+    dealt = ws.stage(sized(rare_keys(crowd, sets, percent).join(crowd, "rep").select("key", F.lit(-1).alias("band"), "rep", "comp", "prefix"), block), "dealt")
+    rest = left.where(few).unionByName(dealt)
+    rest = rest.join(reps, "rep").join(sets.select(F.col("doc_id").alias("rep"), "short"), "rep")
+    more = confirm(sets, cross_block(rest, percent), percent, ws, "rest")
     final = components(edges.unionByName(more), ws, "cc-all")
 
     whole = prints.join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")

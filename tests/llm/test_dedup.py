@@ -148,6 +148,31 @@ def test_shingles_across_batches_of_bytes(monkeypatch):
     assert [len(s) for s in near_dedup.sets_of(pa.array(["a b c d", "a\x0bb\x1cc d e", None]), 4)] == [1, 1, 0]
 
 
+def test_texts_of_one_template_do_not_meet_by_the_square(docs, spark, monkeypatch):
+    rnd = random.Random(23)
+    base = [rnd.choice(WORDS) + str(rnd.randrange(500)) for _ in range(120)]
+    made = []
+    for _ in range(600):
+        w = list(base)
+        for p in rnd.sample(range(len(w)), 7):  # some 0.6 of the shingles are common
+            w[p] = "x" + str(rnd.randrange(10**6))
+        made.append(" ".join(w))
+    made += [made[5] + " end", made[6] + " end of it"]
+    rows = list(enumerate(made))
+    seen, block = [], near_dedup.cross_block
+
+    def counted(members, percent):
+        seen.append(near_dedup.cells_of(members).count())
+        return block(members, percent)
+
+    monkeypatch.setattr(near_dedup, "cross_block", counted)
+    for n in (300, 602):
+        part = rows[:n]
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs(part), 4, 80, 32).collect()}
+        assert got == plain_components(part, 4, 80)
+    assert seen[1] <= 3 * seen[0] + 100, seen
+
+
 def test_near_odd(odd, none):
     rows = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(odd, 4).collect()}
     assert {(1, 1, True), (2, 2, True), (4, 4, True), (5, 4, False), (None, None, True), (6, 6, True)} <= rows
@@ -231,8 +256,8 @@ def test_blocks_pass_on_very_long_pairs_at_the_threshold(spark):
         rows = []
         for rep in (1, 2):
             full = np.concatenate([both, rnd.integers(0, 2**64, n - share, np.uint64)])
-            rows.append((9, 0, rep, rep, n, sig, np.unique((full >> np.uint64(32)).astype(np.uint32)).tobytes(), 1))
-        members = spark.createDataFrame(rows, "key bigint, band int, rep bigint, comp bigint, n bigint, signature binary, short binary, blocks bigint")
+            rows.append((9, 0, rep, rep, n, sig, np.unique((full >> np.uint64(32)).astype(np.uint32)).tobytes(), None))
+        members = near_dedup.sized(spark.createDataFrame(rows, "key bigint, band int, rep bigint, comp bigint, n bigint, signature binary, short binary, prefix binary"), 256)
         return [tuple(r) for r in near_dedup.cross_block(members, 80).collect()]
 
     assert pairs(n * 8 // 9) == [(1, 2)] and pairs(n * 17 // 20) == []
@@ -322,6 +347,14 @@ def test_aligned_together_equals_the_full_table():
             assert r is not None or full > 6
 
 
+def test_short_items_match_whole_documents_only(docs, spark):
+    bench = spark.createDataFrame([(1, "Short item"), (2, "short  ITEM "), (3, "another passage that is long enough to be found within a text")], "item_id bigint, text string")
+    rows = [(1, "\n short item"), (2, "a short item within a text"), (3, "so " + "another passage that is long enough to be found within a text" + " it is"), (3, "SHORT ITEM")]
+    for block in (2_000_000, 60):
+        found = sorted(tuple(r) for r in decontaminate.leaks(docs(rows), bench, block_chars=block).select("doc_id", "item_id", "start_char", "end_char").collect())
+        assert found == [(1, 1, 2, 12), (1, 2, 2, 12), (3, 1, 0, 10), (3, 2, 0, 10), (3, 3, 3, 3 + len(bench.where('item_id = 3').first().text))]
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "something that is in no text at all, whatever one reads")], "item_id bigint, text string")
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0

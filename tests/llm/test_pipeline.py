@@ -52,6 +52,20 @@ def test_stages_keep_texts_with_letters_when_no_language_could_be_learned(spark,
         assert docs.count() > 0, name
 
 
+def test_documents_of_no_known_language_are_labelled(docs, spark):
+    rows = docs([(1, "some words"), (2, "123")]).withColumn("lang", langid_lit("sv", "doc_id = 1"))
+    rows = rows.unionByName(docs([(3, "other words"), (4, None)]))
+    model = langid.Model(["en"], langid.np.ones(langid.SIZE), langid.np.zeros((langid.SIZE, 1)), 1.0)
+    kept = langid.keep_known(rows, model)
+    assert kept.columns == rows.columns and {(r.doc_id, r.lang) for r in kept.collect()} == {(1, "sv"), (3, "en")}
+
+
+def langid_lit(value, test):
+    from pyspark.sql import functions as F
+
+    return F.when(F.expr(test), F.lit(value))
+
+
 def test_a_language_named_und_is_a_language(spark, docs):
     rows = docs([(1, "some words"), (2, "123"), (3, None)])
     model = langid.Model(["und"], langid.np.ones(langid.SIZE), langid.np.zeros((langid.SIZE, 1)), 1.0)

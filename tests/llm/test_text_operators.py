@@ -71,12 +71,23 @@ def test_bpe_equals_the_library(spark):
         assert c.encode(text) == want and c.decode(want) == t.decode(want, skip_special_tokens=False)
 
 
-def test_tree_and_node_agree():
+def plain_merge(ranks, sym):
+    while len(sym) > 1:
+        low, i = min((ranks.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(sym, sym[1:])))
+        if low == 1 << 60:
+            break
+        sym[i : i + 2] = [ranks[sym[i], sym[i + 1]][1]]
+    return sym
+
+
+def test_one_tree_serves_pieces_of_all_lengths(monkeypatch):
     c, rnd = bpe.Codec(vocabulary()), random.Random(2)
-    for _ in range(300):
-        data = bytes(rnd.choice(b"the and ion.") for _ in range(rnd.randrange(2, 200)))
-        sym = [c.first[b] for b in data]
-        assert c.merge_node(list(sym)) == c.merge_tree(list(sym))
+    ranks = {(int(k) >> 20, int(k) & (1 << 20) - 1): (int(r), int(c.merged[r])) for k, r in zip(c.keys, c.rank)}
+    pieces = [bytes(rnd.choice(b"the and ion.\xc3") for _ in range(n)) for n in [*range(70), 200, 300] for _ in range(4)]
+    met, trees = [], c.merge_trees
+    monkeypatch.setattr(c, "merge_trees", lambda these, bits: met.extend(these) or trees(these, bits))
+    assert c.merge(pieces) == [plain_merge(ranks, [int(c.first[x]) for x in p]) for p in pieces]
+    assert sorted(met) == sorted(p for p in pieces if len(p) > 1)
 
 
 def test_bpe_odd(odd, none):
@@ -96,6 +107,12 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows) and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
 
 
+def test_every_language_is_learned_and_repeated_rows_stay_bounded(docs, spark, monkeypatch):
+    rows = [(i * 1000 + k, f"{chr(0x4E00 + 40 * i)}{chr(0x4E01 + 40 * i)} " * 4, f"l{i}") for i in range(300) for k in range(2)] + [(7, "one text of a third of the rows", "l0")] * 300
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=5)
+    assert len(model.langs) == 300
+
+
 def test_language_odd(odd, none, docs, spark):
     assert {r.lang_pred for r in langid.predictions(odd).collect()} == {"und"} and langid.predictions(none).count() == 0
     rows = [(i, f"{a} {i}", lang) for i, (a, lang) in enumerate([("the cat and dog", "en"), ("der hund und katze", "de")] * 20)]
@@ -113,6 +130,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.6 * sum(r.toxic for r in rows) and hit >= 0.8 * sum(r.predicted for r in rows)
 
 
+def test_toxicity_on_held_out_rows_of_the_larger_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scores(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    hit = sum(r.predicted == r.toxic == 1 for r in rows)
+    assert hit >= 0.9 * sum(r.toxic for r in rows) and hit >= 0.95 * sum(r.predicted for r in rows)
+
+
 def test_label_model_finds_the_better_voter():
     import numpy as np
 
@@ -123,7 +147,33 @@ def test_label_model_finds_the_better_voter():
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     labelled = np.stack([np.bincount(inverse.ravel()[:400], ~y[:400], len(patterns)), np.bincount(inverse.ravel()[:400], y[:400], len(patterns))], 1)
     m = toxicity.fit_label_model(patterns, counts.astype(float), labelled, 0.3)
-    assert m.rates[1][0] > 0.8 > 0.6 > m.rates[1][3] and m.weight[0] < m.weight[3] and m.correlation[0, 1] > 0.5
+    assert m.rates[1][0] > 0.8 > 0.6 > m.rates[1][3]
+    assert m.parent[1] == 0 or m.parent[0] == 1
+    lone = toxicity.fit_label_model(patterns[:, [0, 3]], counts.astype(float), labelled, 0.3)
+    gain = lambda m, v: float(np.diff(m.log_odds(np.array([[0.0] * len(v), v])))[0] / m.scale)
+    # what two correlated voters say together counts hardly more than what one says
+    assert gain(m, [1, 1, 0, 0]) < 1.3 * gain(lone, [1, 0]) < 0.8 * (2 * gain(lone, [1, 0]))
+
+
+def test_tree_of_voters_equals_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    m = toxicity.LabelModel(0.3, rnd.uniform(0.1, 0.9, (2, 4)), np.array([-1, 0, 1, 0]), rnd.uniform(0.1, 0.9, (2, 2, 4)))
+    for v in itertools.product([0.0, 1.0], repeat=4):
+        chance = []
+        for c in (0, 1):
+            p = m.prior if c else 1 - m.prior
+            for j, up in enumerate(m.parent):
+                q = m.rates[c, j] if up < 0 else m.given[c, int(v[up]), j]
+                p *= q if v[j] else 1 - q
+            chance.append(p)
+        assert abs(m.with_silence(np.array([v]))[0] - np.log(chance[1] / chance[0])) < 1e-9
+    near = toxicity.dependence(np.array([[0, 0, 0], [0, 0, 1], [1, 1, 0], [1, 1, 1]], float), np.ones((2, 4)))
+    assert abs(near[0, 1] - np.log(2)) < 1e-9 and abs(near[0, 2]) < 1e-9
+    assert sorted(toxicity.spanning(near).tolist()) == [-1, -1, 0]
 
 
 def test_toxicity_odd(odd, none, spark):
@@ -176,6 +226,15 @@ def test_candidates_of_any_length_case_and_cue_come_whole(docs):
     assert secrets.candidates(docs(plain)).count() == 0
 
 
+def test_candidates_of_any_length_with_a_known_beginning_or_behind_a_cue(docs):
+    long, late, bare = "Ab3" * 1700, "q" * 300 + "7" + "w" * 20, "AKIA" + "BCDEFGHIJKLMNOPQ"
+    rows = [(1, f"x {long} y"), (2, f"x {late} y"), (3, f"x {bare} y"), (4, 'PASSWORD = "abcdefghijk"'), (5, "Token: " + "v" * 260), (6, "no candidate in here"), (7, long), (7, long)]
+    found = {}
+    for r in secrets.candidates(docs(rows)).collect():
+        found.setdefault(r.doc_id, []).append(r.candidate)
+    assert found == {1: [long], 2: [late], 3: [bare], 4: ["abcdefghijk"], 5: ["v" * 260], 7: [long, long]}
+
+
 def test_secret_plan_is_native(spark, odd):
     plan = secrets.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
