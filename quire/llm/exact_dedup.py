@@ -34,7 +34,7 @@ HASH_BITS = 63
 #: A group is hot if it has more than one in HOT of all rows; so there are fewer than HOT of them.
 HOT = 10_000
 #: Bytes of distinct repeated texts that a task holds to combine their copies.
-HELD = 32 << 20
+HELD = 16 << 20
 #: Slots of the directory grow with the keys; beyond so many the capacity of a bucket does instead.
 SLOTS = 1 << 18
 #: Bits that a directory looks at, at most. Keys that agree in all of them share a bucket over its capacity: owners read it as a stream like any other.

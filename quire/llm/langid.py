@@ -197,9 +197,10 @@ def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None,
     def run(batches):
         m, only = packed.value
         for batch in batches:
-            told = [m.predict(t) for t in texts(batch)]
+            whole = texts(batch)
+            told = [m.predict(t) for t in whole]
             at = []
-            for i, (t, (lang, score)) in enumerate(zip(texts(batch), told)):
+            for i, (t, (lang, score)) in enumerate(zip(whole, told)):
                 # only a text without a letter has score 0, but where nothing was learned all have
                 known = score > 0 or not m.langs and grams(t) is not None
                 if known and (only is None or score > 0 and lang in only):
