@@ -3,10 +3,11 @@
 Texts with equal shingle sets form a class, of which one row goes on.  HASHES minima in BANDS bands of
 ROWS miss a pair at the threshold of 0.8 with probability (1 - 0.8^ROWS)^BANDS < 1e-7.  Each text is first
 compared with one hub of its buckets; components of what is confirmed come from large-star and small-star.
-Only buckets that then still hold several components are compared further.  Those of more than ``block``
-texts are dealt anew by the rarest shingles of each text (a prefix filter, which loses no link), so that
-texts of one template, alike but below the threshold, don't meet by the square of their number.  A large
-group of copies costs one comparison a text.  A link counts only if the full sets confirm it.
+Only buckets that then still hold several components are compared further, and one of those that hold the same
+texts.  Those of more than ``block`` texts are dealt anew by the rarest shingles of each text (a prefix filter,
+which loses no link), so that texts of one template, alike but below the threshold, don't meet by the square of
+their number.  A large group of copies costs one comparison a text.  Signatures move first; shingle sets move only
+of texts that a signature finds alike to another.  A link counts only if the full sets confirm it.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own
 component; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node,
@@ -140,10 +141,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), start, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int, ws: Workspace) -> DataFrame:
-    """doc_id, grams (the full set), short (its hashes cut to 32 bits, as bytes) of the documents named in ids."""
-    hashed = ids.select(F.xxhash64("doc_id").alias("_key"))
-    some = in_bitmap(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")), "_key", bitmap(hashed, "_key", ids.count())).select("doc_id", "text")
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id may be one of ids (doc_id): all that are, and few others."""
+    words = bitmap(ids.select(F.xxhash64("doc_id").alias("_key")), "_key", ids.count())
+    return in_bitmap(df.withColumn("_key", F.xxhash64(column)), "_key", words).drop("_key")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, again: DataFrame, words: int, ws: Workspace) -> DataFrame:
+    """doc_id, grams (the full set) of the documents named in ids and of few others; again: those of ids that have several rows."""
+    some = among(docs.select("doc_id", "text"), "doc_id", ids)
 
     def start():
         def one(batch: pa.RecordBatch) -> dict:
@@ -151,20 +157,63 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, ws: Workspace) -> Dat
             return {
                 "doc_id": batch.column("doc_id"),
                 "grams": pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64())),
-                "short": pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in made], pa.binary()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made], pa.binary()),
             }
 
         return one
 
-    sets = map_batches(some.join(ids, "doc_id", "left_semi"), start, "doc_id bigint, grams array<bigint>, short binary, digest binary")
-    return ws.stage(sets.groupBy("doc_id").agg(F.min_by(F.struct("grams", "short"), "digest").alias("s")).select("doc_id", "s.*"), "sets")
+    def made(texts: DataFrame) -> DataFrame:
+        return map_batches(texts, start, "doc_id bigint, grams array<bigint>, digest binary").where(F.size("grams") > 0)
+
+    # sets move only where a row must be chosen among several of an id
+    count = again.count()
+    sets = made(without(some, again, count)).select("doc_id", "grams")
+    if count:
+        sets = sets.unionByName(made(among(some, "doc_id", again).join(again, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min_by("grams", "digest").alias("grams")))
+    return ws.stage(sets, "sets")
+
+
+def cut_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, short (hashes of the set cut to 32 bits, as bytes) of the documents named in ids and of few others."""
+
+    def start():
+        def one(batch: pa.RecordBatch) -> dict:
+            cut = [np.unique((g.values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for g in batch.column("grams")]
+            return {"rep": batch.column("doc_id"), "short": pa.array(cut, pa.binary())}
+
+        return one
+
+    return map_batches(among(sets, "doc_id", ids), start, "rep bigint, short binary")
+
+
+def floor_of(percent: int, deviations: float) -> int:
+    """The least number of equal minima by which a pair is taken as one that may reach the threshold."""
+    p = percent / 100
+    return int(HASHES * (p - deviations * (p * (1 - p) / HASHES) ** 0.5))
+
+
+def alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that sizes and signatures don't rule out, eight deviations below the threshold."""
+    floor = floor_of(percent, 8)
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+    both = pairs.distinct().join(side("v"), "v").join(side("u"), "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+
+    def start():
+        def one(batch: pa.RecordBatch) -> dict:
+            su, sv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("su", "sv"))
+            ok = pa.array((su == sv).sum(1) >= floor)
+            return {c: batch.column(c).filter(ok) for c in ("u", "v")}
+
+        return one
+
+    return map_batches(both.select("u", "v", "su", "sv"), start, "u bigint, v bigint")
 
 
 def confirm(sets: DataFrame, pairs: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
     """Those of the pairs (u, v) whose full sets reach the threshold."""
-    pairs = pairs.select("u", "v").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu")), "u")
+    pairs = ws.stage(pairs.select("u", "v").distinct(), f"{name}-pairs")
+    side = lambda c: among(sets, "doc_id", pairs.select(F.col(c).alias("doc_id"))).select(F.col("doc_id").alias(c), F.col("grams").alias(f"g{c}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u")
     shared = F.size(F.array_intersect("gu", "gv"))
     return ws.stage(both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v"), name)
 
@@ -176,9 +225,14 @@ def doubt(n: int, m: int) -> float:
 
 
 def sized(members: DataFrame, block: int) -> DataFrame:
-    """members (key, comp, ...) of keys with several components, with top (the largest component of the key), of it and of others the blocks."""
-    each = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    keys = each.groupBy("key").agg(F.sum("c").alias("held"), F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    """members (key, band, rep, comp, ...) of keys with several components, with top (the largest component of the key), of it and of others the blocks.
+
+    Of keys that hold the same texts (by their number and 128 bits of hashes) only the first stays: the one in which
+    ``cross_block`` looks at their pairs.
+    """
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    keys = each.groupBy("key").agg(F.sum("c").alias("held"), F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.min("band").alias("band"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("comps > 1")
+    keys = keys.groupBy("held", "x", "y").agg(F.min(F.struct("band", "key", "m")).alias("first")).select("held", "first.key", "first.m")
     blocks = lambda n: F.ceil(n / block)
     keys = keys.select("key", "held", F.col("m.comp").alias("top"), (F.col("held") - F.col("m.c")).alias("others"), blocks(F.col("m.c")).alias("top_blocks"), blocks(F.col("held") - F.col("m.c")).alias("blocks"))
     return members.join(keys, "key")
@@ -202,6 +256,52 @@ def cells_of(members: DataFrame) -> DataFrame:
     return cells.withColumn("low", F.col("cell.low")).withColumn("high", F.col("cell.high")).withColumn("mine", F.when(top, F.col("low")).otherwise(F.col("mine"))).drop("cell")
 
 
+def lookalikes(t: pa.Table, percent: int):
+    """(i, j, score) for members i of a cell: those members j of other components that size and signature don't rule out.
+
+    A pair is looked at in the first band that it shares; pairs met with a band of -1 are all given.
+    """
+    floor = floor_of(percent, 5.5)
+    rep, comp, n, mine = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "mine"))
+    low, high, band = (t.column(c)[0].as_py() for c in ("low", "high", "band"))
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+    left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+    for i in left:
+        j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if low == high:
+            j = j[rep[j] > rep[i]]
+        same = sig[j] == sig[i]
+        score = same.sum(1)
+        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+        ok = (score >= floor) & ((first == band) | (band < 0))
+        if ok.any():
+            yield i, j[ok], score[ok]
+
+
+def least_shared(a: np.ndarray, b: np.ndarray) -> int:
+    return np.intersect1d(a, b, True)[0]
+
+
+def marked(members: DataFrame, percent: int) -> DataFrame:
+    """The members that are alike to one of another component in a cell of their key, without the signatures that tell it."""
+    kept = ["key", "band", "rep", "comp", "n", "top", "top_blocks", "blocks"]
+    rows = cells_of(members).select(*kept, "low", "high", "mine", "signature", "prefix")
+
+    def mark(t: pa.Table) -> pa.Table:
+        band, key = (t.column(c)[0].as_py() for c in ("band", "key"))
+        prefix = [np.frombuffer(x, np.int64) for x in t.column("prefix").to_pylist()] if band < 0 else []
+        found = np.zeros(len(t), bool)
+        for i, j, _ in lookalikes(t, percent):
+            if prefix:
+                j = [k for k in j if not (found[i] and found[k]) and least_shared(prefix[i], prefix[k]) == key]
+            if len(j):
+                found[i] = True
+                found[j] = True
+        return t.select(kept).filter(pa.array(found))
+
+    return rows.groupBy("key", "low", "high").applyInArrow(mark, rows.select(kept).schema).distinct()
+
+
 def cross_block(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that join different components of one bucket, block by block.
 
@@ -211,15 +311,12 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
     """
     cells = cells_of(members)
     rows = cells.select("key", "low", "high", "mine", "band", "rep", "comp", "n", "signature", "short", "prefix")
-    floor = int(HASHES * (percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
 
     def near(t: pa.Table) -> pa.Table:
-        rep, comp, n, mine = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "mine"))
-        low, high, band, key = (t.column(c)[0].as_py() for c in ("low", "high", "band", "key"))
+        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        band, key = (t.column(c)[0].as_py() for c in ("band", "key"))
         prefix = [np.frombuffer(x, np.int64) for x in t.column("prefix").to_pylist()] if band < 0 else []
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
         short = [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
-        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
         top: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -229,17 +326,10 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
             return c
 
         u, v = [], []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if low == high:
-                j = j[rep[j] > rep[i]]
-            same = sig[j] == sig[i]
-            score = same.sum(1)
-            first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            ok = (score >= floor) & ((first == band) | (band < 0))
-            for k in j[ok][np.argsort(-score[ok], kind="stable")]:
+        for i, j, score in lookalikes(t, percent):
+            for k in j[np.argsort(-score, kind="stable")]:
                 a, b = root(int(comp[i])), root(int(comp[k]))
-                if a == b or prefix and np.intersect1d(prefix[i], prefix[k], True)[0] != key:
+                if a == b or prefix and least_shared(prefix[i], prefix[k]) != key:
                     continue
                 shared = len(np.intersect1d(short[i], short[k], True))
                 # cut hashes may be wrong by some shingles in large sets: what is near the bound goes on to the full sets
@@ -256,13 +346,13 @@ def cross_block(members: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_keys(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, prefix): the rarest shingles of each text, by which crowded buckets are dealt anew, and all of them in order.
+    """(rep, comp, keys, prefix) of each text of the crowd (rep, comp): its rarest shingles, by which crowded buckets are dealt anew, and the same in order as bytes.
 
     With all shingles of the crowd in one order, two sets that reach the threshold share one of the first
     n - ceil(n percent / 100) + 1 of each: that holds for any order, so no link is lost.  Here shingles come by how often
     their SLOTS-valued hash is met in the crowd, so that texts which share only what is common to it don't meet.
     """
-    grams = sets.join(crowd, sets["doc_id"] == crowd["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "grams")
+    grams = among(sets, "doc_id", crowd.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "grams")
     slot = lambda g: (g.view(np.uint64) >> np.uint64(17)).astype(np.int64) % SLOTS
 
     def count(batches):
@@ -286,8 +376,7 @@ def rare_keys(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return one
 
-    found = map_batches(grams, first, "rep bigint, keys array<bigint>, prefix binary")
-    return found.select(F.explode("keys").alias("key"), "rep", "prefix")
+    return map_batches(grams, first, "rep bigint, keys array<bigint>, prefix binary").join(crowd, "rep")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
@@ -297,35 +386,51 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     prints = ws.stage(signatures(docs, words), "prints")
     filled = prints.where("n_shingles > 0 and doc_id is not null")
-    nodes = filled.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    classes = ws.stage(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = ws.stage(filled.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "reps")
+    nodes = filled.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count("*").alias("rows"))
+    classes = ws.stage(nodes.groupBy("digest").agg(F.min(F.struct("doc_id", "rows")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.rows").alias("rows")), "classes")
+    # a row that is the only one of its id and speaks for its class stays where it is
+    others = ws.stage(nodes.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep or rows > 1").select("doc_id"), "others")
+    again = classes.where("rows > 1").select("digest", F.col("rep").alias("doc_id"))
+    alone = without(filled.select("doc_id", "n_shingles", "signature"), others, others.count())
+    chosen = among(filled, "doc_id", again).join(again, ["doc_id", "digest"]).groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    all_reps = alone.unionByName(chosen).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature")
 
     one_band = lambda b: F.struct(F.xxhash64(F.substring(F.col("signature"), 1 + b * 4 * ROWS, F.lit(4 * ROWS)), b).alias("key"), b.alias("band"))
-    banded = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), one_band)).alias("x")).select("rep", "x.*")
+    banded = all_reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), one_band)).alias("x")).select("rep", "x.*")
+    # most keys are met once: only rows of the others move
+    keys = ws.stage(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "keys")
+    banded = ws.stage(in_bitmap(banded, "key", bitmap(keys, "key", keys.count())), "banded")
     # hubs: the least of the ids under one of four bijections, so that a group has several
     turned = F.element_at(F.array(*[F.lit(m) for m in (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)]), (F.col("band") % 4 + 1).cast("int"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(turned)).alias("hub"), F.min("band").alias("band")).where("size > 1")
-    members = ws.stage(banded.select("key", "rep").join(buckets.select("key", "size", "band", F.col("hub").bitwiseXOR(turned).alias("hub")), "key"), "members")
-    sets = full_sets(docs, ws.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "ids"), words, ws)
+    members = ws.stage(banded.select("key", "rep").join(buckets.select("key", "band", F.col("hub").bitwiseXOR(turned).alias("hub")), "key"), "members")
+    ids = ws.stage(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    reps = ws.stage(among(all_reps, "rep", ids), "reps")
+    sets = full_sets(docs, ids, again.select("doc_id"), words, ws)
     shared = members.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("bands"))
     best = shared.groupBy("rep").agg(F.max_by("hub", F.struct("bands", "hub")).alias("hub"))
-    edges = confirm(sets, best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")), percent, ws, "hubs")
+    edges = confirm(sets, alike(best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")), reps, percent), percent, ws, "hubs")
     joined = components(edges, ws, "cc-hubs")
 
-    placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    placed = ws.stage(placed, "placed")
-    left = ws.stage(sized(placed.drop("size"), block), "mixed").withColumn("prefix", F.lit(None).cast("binary"))
+    placed = ws.stage(members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    left = ws.stage(sized(placed, block), "mixed")
     # few beside one large component meet as they are; many are dealt anew
     few = F.col("others") <= block
-    crowd = left.where(~few).groupBy("rep").agg(F.min("comp").alias("comp"))
-    dealt = ws.stage(sized(rare_keys(crowd, sets, percent).join(crowd, "rep").select("key", F.lit(-1).alias("band"), "rep", "comp", "prefix"), block), "dealt")
-    rest = left.where(few).unionByName(dealt)
-    rest = rest.join(reps, "rep").join(sets.select(F.col("doc_id").alias("rep"), "short"), "rep")
+    crowd = ws.stage(left.where(~few).groupBy("rep").agg(F.min("comp").alias("comp")), "crowd")
+    rare = ws.stage(rare_keys(crowd, sets, percent), "rare")
+    dealt = ws.stage(sized(rare.select(F.explode("keys").alias("key"), F.lit(-1).alias("band"), "rep", "comp"), block), "dealt")
+    prefixes = rare.select("rep", F.lit(-1).alias("band"), "prefix")
+    rest = left.where(few).unionByName(dealt).join(prefixes, ["rep", "band"], "left").join(reps, "rep")
+    rest = ws.stage(marked(rest, percent), "marked")
+    named = ws.stage(rest.select(F.col("rep").alias("doc_id")).distinct(), "named")
+    payload = among(reps.select("rep", "signature"), "rep", named).join(cut_sets(sets, named), "rep")
+    rest = rest.join(prefixes, ["rep", "band"], "left").join(payload, "rep")
     more = confirm(sets, cross_block(rest, percent), percent, ws, "rest")
+    for name in ("others", "keys", "banded", "members", "ids", "reps", "sets", "hubs-pairs", "placed", "mixed", "crowd", "rare", "dealt", "marked", "named", "rest-pairs"):
+        ws.drop(name)
     final = components(edges.unionByName(more), ws, "cc-all")
 
-    whole = prints.join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    whole = prints.join(classes.select("digest", "rep"), "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     found = whole.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.when(F.col("doc_id").isNull(), True).otherwise(F.col("doc_id") == F.col("component_id")).alias("kept"))
 

@@ -173,6 +173,39 @@ def test_texts_of_one_template_do_not_meet_by_the_square(docs, spark, monkeypatc
     assert seen[1] <= 3 * seen[0] + 100, seen
 
 
+def test_keys_that_hold_the_same_texts_are_looked_at_once(spark):
+    rows = [(key, band, rep, rep, None) for key, band in ((70, 5), (80, 2), (90, 9)) for rep in (1, 2, 3)] + [(60, 1, 1, 1, None), (60, 1, 2, 2, None), (50, 0, 4, 4, None), (50, 0, 5, 4, None)]
+    members = near_dedup.sized(spark.createDataFrame(rows, "key bigint, band int, rep bigint, comp bigint, prefix binary"), 256)
+    assert sorted((r.key, r.rep) for r in members.collect()) == [(60, 1), (60, 2), (80, 1), (80, 2), (80, 3)]
+
+
+def test_only_texts_alike_by_signature_move_with_their_sets(docs, monkeypatch):
+    rnd = random.Random(31)
+    rows = []
+    for k in range(60):  # pairs that share half of their shingles meet in buckets, but are not alike
+        head, a, b = ([rnd.choice(WORDS) + str(rnd.randrange(10**6)) for _ in range(n)] for n in (60, 30, 30))
+        rows += [(2 * k, " ".join(head + a)), (2 * k + 1, " ".join(head + b))]
+    seen, block = [], near_dedup.cross_block
+
+    def counted(members, percent):
+        seen.append(members.count())
+        return block(members, percent)
+
+    monkeypatch.setattr(near_dedup, "cross_block", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs(rows), 4, 80).collect()}
+    assert got == plain_components(rows, 4, 80) and seen == [0]
+
+
+def test_a_row_without_words_does_not_speak_for_its_id(docs):
+    rnd = random.Random(37)
+    pairs = []
+    for k in range(30):  # the digest of no set is less than that of every fifth set
+        w = [rnd.choice(WORDS) + str(rnd.randrange(10**6)) for _ in range(60)]
+        pairs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-1]))]
+    got = near_dedup.near_groups(docs(pairs + [(i, None) for i, _ in pairs] + pairs[:6]), 4, 80).where("n_shingles > 0").collect()
+    assert len(got) == 66 and {(r.doc_id, r.component_id) for r in got} == {(i, i // 2 * 2) for i, _ in pairs}
+
+
 def test_near_odd(odd, none):
     rows = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(odd, 4).collect()}
     assert {(1, 1, True), (2, 2, True), (4, 4, True), (5, 4, False), (None, None, True), (6, 6, True)} <= rows
