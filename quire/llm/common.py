@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,6 +81,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system at the end of a task: workers are used again by other operators and would keep the most that any took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow: ``fn()`` runs once a task and gives a function from a batch to a dict of columns."""
     names = [f.name for f in ship(df.sparkSession).createDataFrame([], schema).schema.fields]
@@ -90,6 +100,8 @@ def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict]
             out = one(batch)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names=names)
+            batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Workspace, small_batches, texts, without
+from quire.llm.common import Workspace, give_back, small_batches, texts, without
 from quire.llm.near_dedup import mix, powers
 
 Q = 12
@@ -278,6 +278,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 24, block_chars: i
                 yield from search(held)
                 held, chars = [], 0
         yield from search(held)
+        held = index = None
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold_of, map_batches, small_batches, texts
+from quire.llm.common import fold_of, give_back, map_batches, small_batches, texts
 
 BITS = 14
 SIZE = 1 << BITS
@@ -210,6 +210,8 @@ def keep_known(docs: DataFrame, model: Model, accepted: list[str] | None = None,
                 given = batch.column(k).to_pylist()
                 batch = batch.set_column(k, batch.schema.field(k), pa.array([lang if x is None and score > 0 else x for x, (lang, score) in zip(given, told)], batch.column(k).type))
             yield batch.take(pa.array(at, pa.int64()))
+            batch = whole = told = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

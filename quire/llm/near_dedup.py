@@ -30,7 +30,7 @@ from quire.llm.components import components
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Counters by which shingles are put in order, the rarest first.
 SLOTS = 1 << 16
 _M1, _M2, _BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x5851F42D4C957F2D))
