@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """By keys into several tasks a core, for work that is heavy in CPU. The number is given, since Spark would join tasks by bytes until one is left over for a second round."""
+    spark = frame.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return frame.repartition(n, *keys)
+
+
 def url_parts(pages: DataFrame) -> DataFrame:
     """page_id, site, path (no edge slashes), query, fragment."""
     url = F.col("url")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import cases, corpus
-from quire.corpus import table
+from quire.corpus import spread, table
 from quire.functions import paths, shapes, uris
 from quire.operators import classify, findings, rewrite, tables
 from quire.plans import normalize as plan
@@ -369,25 +369,26 @@ def _pages_done(spark: SparkSession, sf: str, one, schema: str, types: list[pa.D
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
     # parsing is heavy in CPU and the table may be one row group
-    return table(ship(spark), sf, "pages").select("page_id", "html").repartition("page_id").mapInArrow(run, schema)
+    return spread(table(ship(spark), sf, "pages").select("page_id", "html"), "page_id").mapInArrow(run, schema)
 
 
 @query("SELECT page_id, true AS text_kept, true AS settled FROM pages")
 def normalize_pages(spark, sf):
     """Each page rewritten: its text is kept and a second pass changes nothing."""
-    import re
-
     from quire.markup import parse
 
     def one(i, html):
-        out = rewrite.normalize(html)
-        before, after = parse(html), parse(out or "")
-        if before is None or after is None:
+        # what is parsed is read before the steps work on it, so each text is parsed once
+        doc = parse(html)
+        if doc is None:
+            return i, None, None
+        before = doc.root.content(without="style")
+        out = rewrite.rewritten(doc)
+        again = parse(out)
+        if again is None:
             return i, None, None
-        for n in before.root.named("style"):
-            n.remove_with_tail()
-        bare = lambda d: re.sub(r"\s", "", d.root.content())
-        return i, bare(before) == bare(after), rewrite.normalize(out) == out
+        after = again.root.content()
+        return i, "".join(before.split()) == "".join(after.split()), rewrite.rewritten(again) == out
 
     return _pages_done(spark, sf, one, "page_id bigint, text_kept boolean, settled boolean", [pa.int64(), pa.bool_(), pa.bool_()])
 
