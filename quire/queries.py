@@ -428,7 +428,7 @@ def books(spark: SparkSession, sf: str, per_book: int = 16) -> DataFrame:
         files["OEBPS/book.opf"] = opf.encode()
         return pa.table({"book_id": [f"b{b}.epub"], "content": pa.array([archives.pack(files)], pa.binary())})
 
-    return pages.groupBy("b").applyInArrow(build, "book_id string, content binary")
+    return spread(pages, "b").groupBy("b").applyInArrow(build, "book_id string, content binary")
 
 
 #: The pages of the books below, with the links that lead out of the book's root and those whose target is not there.

@@ -5,7 +5,12 @@ import sys
 import pytest
 
 from quire import corpus, markup
+from quire.operators import books as ops
 from quire.operators import rewrite
+from quire.operators.findings import CheckResult
+from quire.plans import normalize as plan
+from quire.sources import archives
+from tests.test_books import book
 
 
 def calls(work):
@@ -74,3 +79,32 @@ def test_pages_are_dealt_to_several_tasks_a_core(spark):
     pages = spark.createDataFrame([(k, "<p>x</p>") for k in range(500)], "page_id long, html string")
     dealt = corpus.spread(pages, "page_id")
     assert dealt.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and dealt.count() == 500
+
+
+def test_a_book_without_a_checker_is_packed_and_looked_over_once(monkeypatch):
+    content, done = archives.pack(book({"a.x": "<p>x</p>"})), []
+    pack, issues = archives.pack, ops.issues
+    monkeypatch.setattr(archives, "pack", lambda files: done.append("pack") or pack(files))
+    monkeypatch.setattr(ops, "issues", lambda b: done.append("issues") or issues(b))
+    out = plan.normalize_book("b.epub", content)["output"]
+    assert sorted(done) == ["issues", "pack"]
+    seen = []
+    checked = plan.normalize_book("b.epub", content, plan.Options(checker=lambda data: seen.append(data) or CheckResult(False, "unavailable")))["output"]
+    assert len(seen) == 3 and seen[2] == checked == out != seen[1]
+
+
+def test_anchors_of_a_page_are_read_once_for_all_links_to_it():
+    def work(k):
+        pages = {"a.x": "".join(f'<p><a href="b.xhtml#n{j}">x</a></p>' for j in range(k)), "b.xhtml": "".join(f'<p id="n{j}">x</p>' for j in range(k))}
+        b = ops.Book.open(book(pages))
+        return calls(lambda: (ops.issues(b), ops.repair_links(b))) / k
+
+    work(5)
+    assert work(200) < 1.2 * work(50)
+
+
+def test_books_are_dealt_to_several_tasks_a_core(spark):
+    from quire import queries
+
+    made = queries.books(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
